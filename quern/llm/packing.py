@@ -4,11 +4,11 @@ Harmonic packing. A text longer than the capacity is cut into full containers
 and a remainder; every other text stays whole. Lengths in (C/(k+1), C/k] are
 class k, and a container of class k takes k of them, so that workers fill
 containers of a class independently by counting. Workers are shards of the
-texts by a hash of their id, of SHARD texts on average. As containers of the
-first classes keep gaps (a quarter on average in class 1), each shard then
-gives its small texts, longest first, to the smallest gap that takes them,
-before the rest of the small ones fill containers of their own by first fit
-in sequence. Only ids and lengths are shuffled, never texts.
+texts by a hash of their id, of SHARD texts on average. Full containers keep
+gaps (a quarter on average in class 1), so each shard goes through its texts
+from the longest on and gives a text to the smallest gap of a finished
+container that takes it, before it opens a container of the text's own class.
+Only ids and lengths are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from quern.llm.tokens import token_counts
 from quern.plans.durable import materialize
 
-#: Classes from this one on are small texts, which fill gaps; texts of a shard.
-SMALL, SHARD = 5, 20_000
+#: Texts of a shard, on average.
+SHARD = 20_000
+#: Classes beyond this one are one class of small texts, whose containers are open to any text that fits.
+CLASSES = 16
 MOST_SPECS = 1000
 OUT = "pack_name string, container string, doc_id long, part int, tokens long"
 
@@ -31,34 +33,30 @@ OUT = "pack_name string, container string, doc_id long, part int, tokens long"
 def pack_shard(lengths: list[int], capacity: int) -> list[int]:
     """The container number of each length (at most the capacity, at least 1)."""
     where = [0] * len(lengths)
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     used: list[int] = []
-    open_of: dict[int, tuple[int, int]] = {}
-    small = []
-    for i in order:
-        k = capacity // lengths[i]
-        if k >= SMALL:
-            small.append(i)
-            continue
-        box, left = open_of.get(k, (-1, 0))
-        if not left:
-            box, left = len(used), k
-            used.append(0)
-        where[i] = box
-        used[box] += lengths[i]
-        open_of[k] = (box, left - 1)
-    gaps = sorted((capacity - u, box) for box, u in enumerate(used) if u < capacity)
-    for i in small:
-        at = bisect_left(gaps, (lengths[i], -1))
-        if at == len(gaps):
-            box, gap = len(used), capacity
-            used.append(0)
+    gaps: list[tuple[int, int]] = []
+    now, box, left = 0, -1, 0  # the class at hand, its open container and the texts that still belong there
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        k = capacity // n
+        if k != now and left and box >= 0:
+            insort(gaps, (capacity - used[box], box))  # no more texts of its class will come
+            left = 0
+        now = k
+        at = bisect_left(gaps, (n, -1))
+        if at < len(gaps):
+            to = gaps.pop(at)[1]
+            finished = True
         else:
-            gap, box = gaps.pop(at)
-        where[i] = box
-        used[box] += lengths[i]
-        if gap > lengths[i]:
-            insort(gaps, (gap - lengths[i], box))
+            if not left:
+                box, left = len(used), k if k < CLASSES else 1
+                used.append(0)
+            to, left = box, left - 1
+            finished = not left
+        where[i] = to
+        used[to] += n
+        if finished and used[to] < capacity:
+            insort(gaps, (capacity - used[to], to))
     return where
 
 

@@ -34,15 +34,14 @@ def calibrate(counts: np.ndarray, member: np.ndarray, targets: np.ndarray, base:
     lam = np.zeros(member.shape[1])
 
     def moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = np.minimum(1.0, base * np.exp(np.clip(member @ v, -50, 50)))
+        p = base * np.exp(np.clip(member @ v, -50, 50))
         return p, member.T @ (counts * p) - targets
 
     p, gap = moments(lam)
     for _ in range(200):
         if np.abs(gap).max(initial=0) < 1e-9 * max(1.0, targets.sum()):
             break
-        free = counts * p * (p < 1)
-        step = np.linalg.lstsq(member.T @ (member * free[:, None]) + 1e-12 * np.eye(len(lam)), gap, rcond=None)[0]
+        step = np.linalg.lstsq(member.T @ (member * (counts * p)[:, None]) + 1e-12 * np.eye(len(lam)), gap, rcond=None)[0]
         scale = 1.0
         while scale > 1e-6:
             q, new = moments(lam - scale * step)
@@ -52,7 +51,7 @@ def calibrate(counts: np.ndarray, member: np.ndarray, targets: np.ndarray, base:
         else:
             break
         lam, p, gap = lam - scale * step, q, new
-    return p
+    return np.minimum(1.0, p)
 
 
 def fixed_targets(share: np.ndarray, least: np.ndarray, have: np.ndarray, size: float) -> np.ndarray:
