@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from quern.plans import core_queries
+
+MODULES = [core_queries]
 
 
 def queries() -> dict[str, Callable]:
