@@ -6,12 +6,12 @@ each sent to all tasks; every block is searched in all training messages.
 
 An item is the set of runs of MER units of its letters and digits (a CJK
 character counts WIDE units). Items are partitioned by size into classes of
-64, 128, 256 ... runs. A message is cut into blocks of 64 runs; a hash sends a
+128, 256, 512 ... runs. A message is cut into blocks of 128 runs; a hash sends a
 run to one of BINS bins, and the smallest hash per bin of a window is the
 window's MinHash (one permutation, BINS bands of one row). Items of a class
 meet windows of twice the class's size at steps of half a window, so that the
-sizes differ by a bounded factor, whatever the message's length, and a common
-MinHash makes a candidate. Runs that stand in more than STOCK items of a
+sizes differ by a bounded factor, whatever the message's length, and COMMON
+equal MinHashes (one in the first class) make a candidate. Runs that stand in more than STOCK items of a
 block (stock instruction lines) don't count for the search, unless they are
 over a third of an item.
 
@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 from quern.llm.grams import NONE, U64, chunks, runs
 from quern.llm.records import plain, role
 
-MER, WIDE, BLOCK, BINS = 24, 3, 64, 128
+MER, WIDE, BLOCK, BINS = 24, 3, 128, 128
 LONG, SHORT, LEAK = 60, 20, 0.5
 ITEMS_AT_ONCE, STOCK = 4_000, 8
-BITS = 1 << 22
+BITS, FILTER = 1 << 22, 1 << 15
+#: MinHashes that a window and an item beyond the first class must share. Half of an item in stretches of the least
+#: length, the hardest case, shares 8 or more on average, so that fewer than 2 occur in about 2 of 1000 such cases.
+COMMON = 2
 
 
 def decoded(content: Column) -> Column:
@@ -91,13 +94,14 @@ class Items:
             self.levels[int(k)] = (hs, own[sel][o], seen)
         self.bits = np.zeros(BITS, dtype=bool)
         self.bits[self.stock % U64(BITS)] = True
-        self.long_runs: dict[int, np.ndarray] = {}
+        self.long_runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def runs_of(self, i: int) -> np.ndarray:
-        """Hashes of all runs of the item's least stretch, in order."""
+    def runs_of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of the item's least stretch, in order, and their places in a small filter."""
         if i not in self.long_runs:
             k = self.least[i]
-            self.long_runs[i] = runs([self.texts[i]], k)[2] if len(self.texts[i]) >= k else np.zeros(0, dtype=U64)
+            h = runs([self.texts[i]], k)[2] if len(self.texts[i]) >= k else np.zeros(0, dtype=U64)
+            self.long_runs[i] = h, (h % U64(FILTER)).astype(np.int32)
         return self.long_runs[i]
 
     def candidates(self, texts: list[str]) -> set[tuple[int, int]]:
@@ -141,7 +145,9 @@ class Items:
             n = hi - lo
             r, lo, n = r[n > 0], lo[n > 0], n[n > 0]
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            key = np.unique(of[rows][np.repeat(r, n)].astype(np.int64) * len(self.texts) + items[pos])
+            key, common = np.unique(rows[np.repeat(r, n)].astype(np.int64) * len(self.texts) + items[pos], return_counts=True)
+            key = key[common >= (COMMON if k else 1)]
+            key = np.unique(of[key // len(self.texts)].astype(np.int64) * len(self.texts) + key % len(self.texts))
             out.update(zip((key // len(self.texts)).tolist(), (key % len(self.texts)).tolist()))
         return out
 
@@ -149,15 +155,21 @@ class Items:
         """(message, item, share) of every leak."""
         out, held = [], {}
         for m, i in sorted(self.candidates(texts)):
-            mine = self.runs_of(i)
+            mine, places = self.runs_of(i)
             k = self.least[i]
             if not len(mine) or len(texts[m]) < k:
                 continue
             if (m, k) not in held:
-                held[m, k] = np.sort(runs([texts[m]], k)[2])
-            there = held[m, k]
-            place = np.searchsorted(there, mine)
-            found = np.flatnonzero(there[np.minimum(place, len(there) - 1)] == mine)
+                there = np.sort(runs([texts[m]], k)[2])
+                bits = np.zeros(FILTER, dtype=bool)
+                bits[(there % U64(FILTER)).astype(np.int32)] = True
+                held = {key: v for key, v in held.items() if key[0] == m} | {(m, k): (there, bits)}
+            there, bits = held[m, k]
+            found = np.flatnonzero(bits[places])
+            if not len(found):
+                continue
+            place = np.searchsorted(there, mine[found])
+            found = found[there[np.minimum(place, len(there) - 1)] == mine[found]]
             if not len(found):
                 continue
             mark = np.zeros(len(self.texts[i]) + 1, dtype=np.int64)
