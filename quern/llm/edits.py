@@ -1,14 +1,15 @@
 """Problem 4: near-duplicate records with small edits.
 
 Order MinHash (Marcais et al., 2019) on the records' letters and digits. The
-k-mers are runs of MER units (a CJK character counts WIDE units) that are
-minima of windows of WINDOW runs, each labelled with its occurrence number. A
-hash sends each labelled k-mer to one of BINS bins; of each bin the KEEP
-smallest are retained in the order in which they stand in the text, and that
-sequence is one signature. Two texts that share signatures share stretches in
-the same order, so edits, insertions and moved sentences leave signatures
-whole. Signatures carry the record's picture set, as only records with the
-same pictures may form a group.
+k-mers are the runs of MER characters that define similarity, each labelled
+with its occurrence number, so edits in every sentence leave as many k-mers
+whole as the index counts. A hash sends each labelled k-mer to one of BINS
+bins; of each bin the KEEP smallest are retained in the order in which they
+stand in the text, and that sequence is one signature. At an index of 0.7 a
+bin's KEEP smallest agree with a chance of about 0.7 ** KEEP, so all BINS fail
+with 2 in a million; parts that are moved lower the chance of a bin, as its
+k-mers change their order. Signatures carry the record's picture set, as only
+records with the same pictures may form a group.
 
 Candidates of a signature are all pairs while it has at most FEW texts, beyond
 that a link of every text to the smallest and the largest class: groups are
@@ -33,7 +34,7 @@ from quern.llm.records import class_texts, picture_set, record_text, shared_shar
 from quern.operators.graph import connected_components
 from quern.plans.durable import materialize
 
-MER, WIDE, WINDOW, BINS, KEEP = 32, 4, 4, 32, 3
+MER, WIDE, WINDOW, BINS, KEEP = 5, 1, 1, 48, 4
 FEW, SIMILAR, BAND = 8, 0.7, 64
 
 

@@ -68,6 +68,14 @@ def test_p4_small(sft):
     assert edits.edit_groups(sft.limit(0)).count() == 0
 
 
+def test_p4_edits_all_over_the_text(spark):
+    base = ["".join(words(s).split()) for s in range(20, 30)]
+    edited = ["".join("q" if i % 30 == 7 else c for i, c in enumerate(t)) for t in base]
+    assert all(jaccard(a, b) >= 0.7 for a, b in zip(base, edited))
+    rows = [(2 * i + k, [("user", x)], "a", "train", None, None, "c", "t") for i, t in enumerate(zip(base, edited)) for k, x in enumerate(t)]
+    assert {(r.id, r.group) for r in edits.edit_groups(spark.createDataFrame(rows, SFT)).collect()} == {(i, i - i % 2) for i in range(20)}
+
+
 @pytest.fixture(scope="module")
 def truth(spark):
     rows = spark.read.parquet(f"{D}/sft_records.parquet").select("record_id", "messages", "split", "images").collect()
