@@ -11,13 +11,16 @@ with 2 in a million; parts that are moved lower the chance of a bin, as its
 k-mers change their order. Signatures carry the record's picture set, as only
 records with the same pictures may form a group.
 
-Candidates of a signature are all pairs while it has at most FEW texts, beyond
-that a link of every text to the smallest and the largest class: groups are
-such that all their members are similar, so links suffice and no hot signature
-is expanded into pairs. Candidates are verified by banded alignment (edit
-distance within BAND of the longer text's length) and, for those with moved
-parts that an alignment cannot see, by their common 5-character runs, which
-also decide what is similar. Groups are connected components.
+Candidates of a signature are all pairs while it has at most FEW classes. The
+classes of a larger one may belong to several groups, as a run of stock text
+gives all its users a signature, so every pair of them is compared: in blocks
+of about BLOCK classes, each pair of blocks a task's unit, by counting common
+runs, and only pairs that are similar leave the unit. Pairs whose numbers of
+runs differ too much for SIMILAR are left out unread, which is exact.
+Candidates are verified by banded alignment (edit distance within BAND of the
+longer text's length) and, for those with moved parts that an alignment cannot
+see, by their common 5-character runs, which also decide what is similar.
+Groups are connected components.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.grams import U64, chunks, mix, mix_scalar, runs, window_minima
+from quern.llm.grams import U64, char_sets, chunks, mix, mix_scalar, runs, window_minima
 from quern.llm.records import class_texts, picture_set, record_text, shared_share, with_texts
 from quern.operators.graph import connected_components
 from quern.plans.durable import materialize
 
 MER, WIDE, WINDOW, BINS, KEEP = 5, 1, 1, 48, 4
-FEW, SIMILAR, BAND = 8, 0.7, 64
+FEW, BLOCK, SIMILAR, BAND = 8, 512, 0.7, 64
 
 
 def classes(sft: DataFrame) -> DataFrame:
@@ -44,8 +47,9 @@ def classes(sft: DataFrame) -> DataFrame:
     return x.where("id is not null and length(text) >= 5").withColumn("cid", F.xxhash64("text", "pictures"))
 
 
-def order_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, signature): up to BINS Order MinHash signatures of each text."""
+def order_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, signature): up to BINS Order MinHash signatures of each text; and each text's number of distinct k-mers."""
+    sizes = np.zeros(len(texts), dtype=np.int32)
     owns, sigs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)]
     for lo, hi in chunks(texts):
         own, at, h = runs(texts[lo:hi], MER, WIDE)
@@ -56,6 +60,7 @@ def order_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         o = np.lexsort((at, h, own))
         own, at, h = own[o], at[o], h[o]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
+        sizes[lo:hi] = np.bincount(own[new], minlength=hi - lo)
         first = np.flatnonzero(new)
         occurrence = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
         x = mix(h + occurrence.astype(U64) * U64(mix_scalar(1)))
@@ -74,11 +79,11 @@ def order_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         s = np.add.reduceat(parts, first)
         owns.append(where[first] // BINS + lo)
         sigs.append(mix(s + (where[first] % BINS).astype(U64) * U64(mix_scalar(3))))
-    return np.concatenate(owns), np.concatenate(sigs)
+    return np.concatenate(owns), np.concatenate(sigs), sizes
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(sig, cid), once per class and task; the signature includes the picture set."""
+    """(sig, cid, runs), once per class and task; the signature includes the picture set, runs counts the distinct 5-character ones."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -86,24 +91,62 @@ def signatures(rows: DataFrame) -> DataFrame:
             x = x.drop_duplicates("cid")
             x = x[[c not in seen for c in x.cid]]
             seen.update(x.cid.tolist())
-            own, sig = order_signatures(list(x.text))
+            own, sig, size = order_signatures(list(x.text))
             with_pictures = mix(sig + x.pictures.to_numpy().view(U64)[own])
-            yield pd.DataFrame({"sig": with_pictures.view(np.int64), "cid": x.cid.to_numpy()[own]})
-
-    return rows.select("cid", "pictures", "text").mapInPandas(sign, "sig long, cid long")
-
-
-def candidates(sigs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes to verify; materialized."""
-    s = materialize(sigs)
-    per = s.groupBy("sig").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    per = materialize(per)
-    more = s.join(per, "sig")
-    few = materialize(more.where(F.col("n") <= FEW).select("sig", "cid"))
-    small = few.alias("x").join(few.alias("y"), "sig").where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    many = more.where(F.col("n") > FEW)
-    stars = many.select(F.explode(F.array("low", "high")).alias("other"), "cid").select(F.least("other", "cid").alias("a"), F.greatest("other", "cid").alias("b")).where("a < b")
-    return materialize(small.union(stars).distinct())
+            yield pd.DataFrame({"sig": with_pictures.view(np.int64), "cid": x.cid.to_numpy()[own], "runs": size[own]})
+
+    return rows.select("cid", "pictures", "text").mapInPandas(sign, "sig long, cid long, runs int")
+
+
+def similar_in(texts: list[str], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of texts that reach SIMILAR; with ``side``, of those on different sides only."""
+    sets = char_sets(texts)
+    size = np.array([len(s) for s in sets])
+    cut = np.concatenate([[0], np.cumsum(size)])
+    _, run, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(texts)), size)[np.argsort(run, kind="stable")]
+    users = np.split(who, np.cumsum(n)[:-1])
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(1, len(texts)):
+        mine = run[cut[i] : cut[i + 1]]
+        mine = mine[n[mine] > 1]
+        if not len(mine):
+            continue
+        both = np.bincount(np.concatenate([users[r] for r in mine]), minlength=len(texts))[:i]
+        good = (both > 0) & (both >= (SIMILAR - 1e-9) * (size[:i] + size[i] - both))
+        j = np.flatnonzero(good if side is None else good & (side[:i] != side[i]))
+        left.append(j)
+        right.append(np.full(len(j), i))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def hot_pairs(many: DataFrame, texts: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) among the classes of each signature; many: (sig, cid, n), n classes each; texts: (cid, text)."""
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.drop_duplicates("cid")
+        i, j = similar_in(list(x.text), x.block.to_numpy() if x.low.iloc[0] != x.high.iloc[0] else None)
+        p, q = x.cid.to_numpy()[i], x.cid.to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    x = many.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x = x.select("sig", "cid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return x.join(texts, "cid").groupBy("sig", "low", "high").applyInPandas(compare, "a long, b long")
+
+
+def candidates(sigs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of classes to verify, and the texts (cid, text) of all classes that share a signature; materialized."""
+    w = Window.partitionBy("sig")
+    shared = sigs.withColumn("low", F.min("cid").over(w)).withColumn("high", F.max("cid").over(w)).where("low < high")
+    shared = materialize(shared.select("sig", "cid", "runs").distinct())
+    texts = class_texts(rows, shared.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+    more = materialize(shared.join(shared.groupBy("sig").agg(F.count("*").alias("n")), "sig"))
+    few = more.where(F.col("n") <= FEW).select("sig", "cid", "runs")
+    small = few.alias("x").join(few.alias("y"), "sig").where("x.cid < y.cid").where(F.least("x.runs", "y.runs") >= SIMILAR * F.greatest("x.runs", "y.runs") - 1e-9)
+    small = small.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    hot = hot_pairs(more.where(F.col("n") > FEW).select("sig", "cid", "n"), texts)
+    return materialize(small.union(hot).distinct()), texts
 
 
 def edit_links(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,8 +156,7 @@ def edit_links(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts were moved or inserted beyond the band.
     """
     rows = classes(sft)
-    cand = candidates(signatures(rows))
-    texts = class_texts(rows, cand)
+    cand, texts = candidates(signatures(rows), rows)
     near = shared_share(with_texts(cand, texts), SIMILAR)
     d = F.levenshtein("text_a", "text_b", BAND)
     links = with_texts(near, texts).select("a", "b", "jaccard", F.when(d >= 0, d).alias("edits"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import edits, leakage, mixing, overlap, packing, pairs, sampling, spam
 from quern.llm.grams import char_sets, runs, token_sets
@@ -76,6 +77,16 @@ def test_p4_edits_all_over_the_text(spark):
     assert {(r.id, r.group) for r in edits.edit_groups(spark.createDataFrame(rows, SFT)).collect()} == {(i, i - i % 2) for i in range(20)}
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_p4_groups_that_share_one_signature(spark, monkeypatch, block):
+    real = edits.signatures
+    monkeypatch.setattr(edits, "signatures", lambda rows: real(rows).withColumn("sig", F.lit(1).cast("long")).distinct())
+    monkeypatch.setattr(edits, "BLOCK", block, raising=False)
+    base = [words(s) for s in range(40, 46)]
+    rows = [(2 * i + k, [("user", x)], "a", "train", None, None, "c", "t") for i, t in enumerate(base) for k, x in enumerate((t, t + " and more"))]
+    assert {(r.id, r.group) for r in edits.edit_groups(spark.createDataFrame(rows, SFT)).collect()} == {(i, i - i % 2) for i in range(12)}
+
+
 @pytest.fixture(scope="module")
 def truth(spark):
     rows = spark.read.parquet(f"{D}/sft_records.parquet").select("record_id", "messages", "split", "images").collect()
