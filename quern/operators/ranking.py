@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +48,33 @@ def growth_change(df: DataFrame, series: list[str], period: str, value: str) ->
     x = df.withColumns({"_a": F.lag(value, 2).over(w), "_b": F.lag(value, 1).over(w), "_p": F.lag(period, 2).over(w)})
     x = x.where((F.col("_p") == F.col(period) - 2) & (F.col("_a") != 0) & (F.col("_b") != 0))
     return x.select(*series, period, ((F.col(value) / F.col("_b") - 1) - (F.col("_b") / F.col("_a") - 1)).alias("change"))
+
+
+def cost_balanced_batches(df: DataFrame, cost: str, identity: str, workers: int, size: int = 7) -> DataFrame:
+    """Adds batch and worker: rows by falling cost, ``size`` to a batch, each batch to the worker with the least load so far.
+
+    Rows of one cost are ordered by ``identity`` as text, workers of one load
+    by number. A row's place is that within its cost and the number of dearer
+    rows, so no window spans the table; only the batches' sums pass through
+    one task, as a stream. A null cost counts as 0.
+    """
+    if workers < 1 or size < 1:
+        raise ValueError("workers and size must be positive")
+    x = df.withColumn("_cost", F.coalesce(F.col(cost), F.lit(0)))
+    dearer = x.groupBy("_cost").agg(F.count("*").alias("_n"))
+    dearer = dearer.select("_cost", (F.sum("_n").over(Window.orderBy(F.desc("_cost"))) - F.col("_n")).alias("_dearer"))
+    place = F.row_number().over(Window.partitionBy("_cost").orderBy(F.col(identity).cast("string")))
+    x = x.withColumn("_place", place).join(dearer, "_cost").withColumn("batch", F.floor((F.col("_dearer") + F.col("_place") - 1) / size).cast("long"))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heap = [(0, w) for w in range(workers)]
+        for b in batches:
+            given = []
+            for load in b.load.tolist():
+                least, w = heap[0]
+                heapq.heapreplace(heap, (least + load, w))
+                given.append(w)
+            yield pd.DataFrame({"batch": b.batch, "worker": given})
+
+    sums = x.groupBy("batch").agg(F.sum("_cost").alias("load")).repartition(1).sortWithinPartitions("batch")
+    return x.join(sums.mapInPandas(assign, "batch long, worker long"), "batch").drop("_cost", "_place", "_dearer")

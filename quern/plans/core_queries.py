@@ -216,6 +216,22 @@ def win8_cost_class(t):
     return t(SFT).select("record_id", F.least(F.lit(9), F.floor(F.length(F.coalesce(last_of(F.col("messages"), "assistant"), F.lit(""))) / 4)).alias("cost_class"))
 
 
+COST = "greatest(1, len(coalesce(list_filter(messages, lambda x: x.role = 'user')[-1].content, '')) // 4) + 256 * coalesce(len(images), 0) + 512"
+
+
+@query(
+    f"with recursive r as (select record_id, cost, (row_number() over (order by cost desc, record_id::varchar) - 1) // 7 as batch from (select record_id, ({COST})::bigint as cost from sft_records)), "
+    "s as (select batch, sum(cost)::bigint as load from r group by batch), "
+    "g as (select -1::bigint as batch, -1::bigint as worker, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[] as loads union all "
+    "select s.batch, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, i: case when i = list_position(loads, list_min(loads)) then v + load else v end) from g join s on s.batch = g.batch + 1) "
+    "select record_id, cost, batch, worker from r join g using (batch)"
+)
+def win8_cost_balanced_batches(t):
+    question = F.coalesce(last_of(F.col("messages"), "user"), F.lit(""))
+    cost = F.greatest(F.lit(1), F.floor(F.length(question) / 4)) + 256 * F.coalesce(F.array_size("images"), F.lit(0)) + 512
+    return K.cost_balanced_batches(t(SFT).select("record_id", cost.cast("long").alias("cost")), "cost", "record_id", 8).select("record_id", "cost", "batch", "worker")
+
+
 # -- filters and projections -------------------------------------------------
 @query("select record_id, list_filter([case when messages is null or len(messages) = 0 then 'no_messages' end, case when not list_contains(list_transform(messages, lambda x: x.role), 'assistant') then 'no_assistant' end, case when len(list_filter(messages, lambda x: x.content is null or trim(x.content, ' ') = '')) > 0 then 'empty_content' end, case when task is null or trim(task) = '' then 'empty_task' end, case when source is null or trim(source) = '' then 'empty_source' end], lambda x: x is not null) as errors from sft_records")
 def flt1_row_errors(t):

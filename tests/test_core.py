@@ -2,7 +2,7 @@ import pytest
 from compare import rows_of_spark, rows_of_sql, view
 
 from quern.operators.graph import connected_components
-from quern.operators.ranking import largest_remainder
+from quern.operators.ranking import cost_balanced_batches, largest_remainder
 from quern.operators.units import common_values, restated_pairs
 from quern.plans import catalog
 
@@ -32,6 +32,14 @@ def test_apportionment_ties_go_to_the_smaller_key(spark):
     assert {r.k: r.seats for r in largest_remainder(c, "k", "n", 5).collect()} == {"a": 2, "b": 1, "c": 2}
 
 
+def test_batches_go_to_the_least_loaded_worker(spark):
+    rows = spark.createDataFrame([(10, 9), (9, 9), (1, 5), (2, 5), (3, 5), (4, 1), (5, None)], "id long, cost long")
+    got = {r.id: (r.batch, r.worker) for r in cost_balanced_batches(rows, "cost", "id", 2, 2).collect()}
+    assert got == {10: (0, 0), 9: (0, 0), 1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (2, 1), 5: (3, 1)}
+    assert cost_balanced_batches(rows.limit(0), "cost", "id", 2).count() == 0
+    assert "win8_cost_balanced_batches" in catalog.queries()
+
+
 def values(spark, rows):
     m = spark.createDataFrame([("revenue", "money", "CNY"), ("floor", "area", "square metres"), ("ratio", "ratio", "percent"), ("power", "energy", "MWh"), ("mass", "mass", "tonnes"), ("staff", "persons", "persons")], "metric string, dimension string, common_unit string")
     fx = spark.createDataFrame([("CNY", 2020, 1.0), ("USD", 2020, 7.0), ("JPY", 2020, 0.05)], "currency string, fiscal_year int, cny_per_unit double")
