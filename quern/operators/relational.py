@@ -25,6 +25,39 @@ def neighbours(df: DataFrame, group: list[str], key: str, reach: int) -> DataFra
     return x.select("a", F.explode(ahead).alias("e")).select("a", "e.b", "e.distance").where("b is not null")
 
 
+def evidence_edges(facts: DataFrame, reach: int = 6) -> DataFrame:
+    """(a, b, edge_type, weight): each fact with the next ``reach`` of its groups by fact_id, both ways.
+
+    Five groupings: document, entity and period, entity and metric over
+    periods, topic within an entity or document, unit across source modes. A
+    null text equals an empty one; an empty one forms no group, except as unit.
+    """
+    names = ["document_id", "page", "entity", "period", "metric", "topic", "unit_id", "source_mode"]
+    f = facts.select(F.col("fact_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in names])
+    c = F.col
+    lane = lambda kind, here, *keys: F.when(here, F.struct(F.lit(kind).alias("edge_type"), F.array(*keys).alias("group")))
+    lanes = F.array_compact(F.array(
+        lane("same_document", c("document_id") != "", c("document_id")),
+        lane("same_entity_period", (c("entity") != "") & (c("period") != ""), c("entity"), c("period")),
+        lane("same_metric_cross_period", (c("entity") != "") & (c("metric") != ""), c("entity"), c("metric")),
+        lane("same_topic", c("topic") != "", c("topic")),
+        lane("cross_modal_same_unit", F.lit(True), c("unit_id")),
+    ))
+    x = f.withColumn("_lane", F.explode(lanes)).select("_lane.*", F.struct("fact_id", *names).alias("x"))
+    w = Window.partitionBy("edge_type", "group").orderBy("x.fact_id")
+    x = x.withColumn("_ahead", F.array_compact(F.array(*[F.lead("x", i).over(w) for i in range(1, reach + 1)]))).select("edge_type", "x", F.explode("_ahead").alias("y"))
+    same = lambda n: c(f"x.{n}") == c(f"y.{n}")
+    weight = (
+        F.when(c("edge_type") == "same_document", F.when(same("page") & (c("x.page") != ""), 3.0).otherwise(2.2))
+        .when(c("edge_type") == "same_entity_period", 3.4)
+        .when((c("edge_type") == "same_metric_cross_period") & (c("x.period") != "") & (c("y.period") != "") & ~same("period"), 4.0)
+        .when((c("edge_type") == "same_topic") & (same("entity") | same("document_id")), 2.7)
+        .when((c("edge_type") == "cross_modal_same_unit") & ~same("source_mode"), 4.2)
+    )
+    e = x.select(c("x.fact_id").alias("a"), c("y.fact_id").alias("b"), "edge_type", weight.alias("weight")).where("weight is not null and a <> b")
+    return e.select(F.explode(F.array(F.struct("a", "b", "edge_type", "weight"), F.struct(c("b").alias("a"), c("a").alias("b"), "edge_type", "weight"))).alias("e")).select("e.*")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """An undirected adjacency: each edge in both directions, once."""
     return edges.select("a", "b").union(edges.select("b", "a")).distinct()

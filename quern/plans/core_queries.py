@@ -129,6 +129,23 @@ def jon7_neighbour_edges(t):
     return J.neighbours(t(FACTS).select("document_id", "page", "fact_id"), ["document_id", "page"], "fact_id", 3)
 
 
+_LANES = {"same_document": ("document_id", "''"), "same_entity_period": ("entity", "period"), "same_metric_cross_period": ("entity", "metric"), "same_topic": ("topic", "''"), "cross_modal_same_unit": ("unit_id", "''")}
+_FACT = ", ".join(f"coalesce({c}, '') as {c}" for c in ("document_id", "page", "entity", "period", "metric", "topic", "unit_id", "source_mode"))
+_LANE_ROWS = " union all ".join(f"select '{k}' as edge_type, {g} as g, {h} as h, f.* from f" + ("" if g == "unit_id" else f" where {g} <> ''" + ("" if h == "''" else f" and {h} <> ''")) for k, (g, h) in _LANES.items())
+
+
+@query(
+    f"with f as (select fact_id, {_FACT} from evidence_facts), l as ({_LANE_ROWS}), "
+    "r as (select *, row_number() over (partition by edge_type, g, h order by fact_id) as rn from l), "
+    "p as (select x.fact_id as a, y.fact_id as b, edge_type, case edge_type when 'same_document' then case when x.page = y.page and x.page <> '' then 3.0 else 2.2 end when 'same_entity_period' then 3.4 "
+    "when 'same_metric_cross_period' then case when x.period <> '' and y.period <> '' and x.period <> y.period then 4.0 end when 'same_topic' then case when x.entity = y.entity or x.document_id = y.document_id then 2.7 end "
+    "else case when x.source_mode <> y.source_mode then 4.2 end end::double as weight from r x join r y using (edge_type, g, h) where y.rn between x.rn + 1 and x.rn + 6) "
+    "select a, b, edge_type, weight from p where weight is not null and a <> b union all select b, a, edge_type, weight from p where weight is not null and a <> b"
+)
+def jon7_evidence_edges(t):
+    return J.evidence_edges(t(FACTS))
+
+
 @query("with e as (select fact_id as a, lead(fact_id) over (partition by document_id order by fact_id) as b from evidence_facts) select a, b from e where b is not null union select b, a from e where b is not null")
 def jon15_adjacency(t):
     return J.both_ways(J.neighbours(t(FACTS).select("document_id", "fact_id"), ["document_id"], "fact_id", 1))

@@ -3,6 +3,7 @@ from compare import rows_of_spark, rows_of_sql, view
 
 from quern.operators.graph import connected_components
 from quern.operators.ranking import cost_balanced_batches, largest_remainder
+from quern.operators.relational import evidence_edges
 from quern.operators.units import common_values, restated_pairs
 from quern.plans import catalog
 
@@ -40,6 +41,18 @@ def test_batches_go_to_the_least_loaded_worker(spark):
     assert "win8_cost_balanced_batches" in catalog.queries()
 
 
+def test_evidence_edges_reach_six_over_pages_and_kinds(spark):
+    rows = [(f"f{i}", "d", str(i // 2), "e", "2020" if i < 4 else "2021", "revenue", None, "u", "text" if i % 2 else "image") for i in range(8)]
+    f = spark.createDataFrame(rows, "fact_id string, document_id string, page string, entity string, period string, metric string, topic string, unit_id string, source_mode string")
+    got = evidence_edges(f).collect()
+    kinds = {(r.a, r.b): [] for r in got}
+    for r in got:
+        kinds[r.a, r.b].append((r.edge_type, r.weight))
+    assert sorted(kinds["f0", "f1"]) == [("cross_modal_same_unit", 4.2), ("same_document", 3.0), ("same_entity_period", 3.4)]
+    assert sorted(kinds["f6", "f0"]) == [("same_document", 2.2), ("same_metric_cross_period", 4.0)]
+    assert ("f0", "f7") not in kinds and evidence_edges(f.limit(0)).count() == 0
+
+
 def values(spark, rows):
     m = spark.createDataFrame([("revenue", "money", "CNY"), ("floor", "area", "square metres"), ("ratio", "ratio", "percent"), ("power", "energy", "MWh"), ("mass", "mass", "tonnes"), ("staff", "persons", "persons")], "metric string, dimension string, common_unit string")
     fx = spark.createDataFrame([("CNY", 2020, 1.0), ("USD", 2020, 7.0), ("JPY", 2020, 0.05)], "currency string, fiscal_year int, cny_per_unit double")
