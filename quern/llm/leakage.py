@@ -10,8 +10,9 @@ character counts WIDE units). Items are partitioned by size into classes of
 run to one of BINS bins, and the smallest hash per bin of a window is the
 window's MinHash (one permutation, BINS bands of one row). Items of a class
 meet windows of twice the class's size at steps of half a window, so that the
-sizes differ by a bounded factor, whatever the message's length, and COMMON
-equal MinHashes (one in the first class) make a candidate. Runs that stand in more than STOCK items of a
+sizes differ by a bounded factor, whatever the message's length, and one
+equal MinHash makes a candidate, as an item's stretches may lie in different
+windows. Runs that stand in more than STOCK items of a
 block (stock instruction lines) don't count for the search, unless they are
 over a third of an item.
 
@@ -37,9 +38,7 @@ MER, WIDE, BLOCK, BINS = 24, 3, 128, 128
 LONG, SHORT, LEAK = 60, 20, 0.5
 ITEMS_AT_ONCE, STOCK = 4_000, 8
 BITS, FILTER = 1 << 22, 1 << 15
-#: MinHashes that a window and an item beyond the first class must share. Half of an item in stretches of the least
-#: length, the hardest case, shares 8 or more on average, so that fewer than 2 occur in about 2 of 1000 such cases.
-COMMON = 2
+
 
 
 def decoded(content: Column) -> Column:
@@ -145,9 +144,7 @@ class Items:
             n = hi - lo
             r, lo, n = r[n > 0], lo[n > 0], n[n > 0]
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            key, common = np.unique(rows[np.repeat(r, n)].astype(np.int64) * len(self.texts) + items[pos], return_counts=True)
-            key = key[common >= (COMMON if k else 1)]
-            key = np.unique(of[key // len(self.texts)].astype(np.int64) * len(self.texts) + key % len(self.texts))
+            key = np.unique(of[rows[np.repeat(r, n)]].astype(np.int64) * len(self.texts) + items[pos])
             out.update(zip((key // len(self.texts)).tolist(), (key % len(self.texts)).tolist()))
         return out
 

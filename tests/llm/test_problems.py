@@ -120,6 +120,15 @@ def test_p2_small(spark):
     assert leakage.leaked_items(train.limit(0), items).count() == 0 and leakage.leaked_items(train, items.limit(0)).count() == 0
 
 
+def test_p2_stretches_far_apart():
+    for seed in (917, 921, 1737):
+        r = random.Random(seed)
+        letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        item = letters(540)
+        message = "".join(item[i : i + 68] + letters(2100) for i in (0, 130, 260, 390))
+        assert [x[:2] for x in leakage.Items([1], [item]).leaks([message])] == [(0, 0)]
+
+
 @pytest.mark.parametrize("question, answer, task, defect", [
     ("What is the profit?", "", None, "empty"), ("What is the profit?", None, None, "empty"), ("What is it?", "N/A", None, "empty"), ("Was ist es?", "Antwort:", None, "empty"), ("What is it?", "<answer></answer>", None, "empty"),
     ("What is the profit?", "I'm sorry, but I can't answer that. The material concerns Acme.", None, "refusal"), ("请说明利润。", "抱歉，我无法提供此类信息。", "x", "refusal"), ("Wie hoch?", "Leider kann ich dazu keine Auskunft geben.", None, "refusal"),
