@@ -3,13 +3,16 @@
 An exact prefix-filter join between the evaluation and the training side.
 Each distinct text is a set of rare shingles: runs of SHINGLE units of its
 letters and digits (a CJK character counts WIDE units), thinned to the minima
-of windows of WINDOW runs. Two texts with 0.7 of their 5-character runs in
-common keep far more than SHARE of the larger set, as the runs destroyed by an
-edit are those that cross it. A pair with SHARE of the larger set in common
-has at least ``need`` common shingles among the first shingles of both sets in
-any fixed order; the order is frequent ones last, so the prefixes hold rare
-shingles. Frequencies come from a bounded sample of the rows, which decides
-the order alone and so the speed, not the result.
+of windows of WINDOW runs. A pair with SHARE of the larger set in common, less
+SLACK, has at least ``need`` common shingles among the first shingles of both
+sets in any fixed order; the order is frequent ones last, so the prefixes hold rare
+shingles. Frequencies come from a bounded sample of the rows, which decides the order
+alone.
+
+The join is exact for its own threshold, which 0.7 of common 5-character runs
+doesn't imply: edits less than SHINGLE apart leave no shingle whole. So the
+pairs that share an Order MinHash signature of 5-character runs (problem 4's,
+without pictures) are candidates too.
 
 Evaluation prefixes are indexed and training prefixes probed, bucket by bucket
 of shingles, with the length filter (the smaller set has SHARE of the larger
@@ -27,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import edits
 from quern.llm.grams import token_sets
 from quern.llm.records import class_texts, label, record_text, shared_share, training_side, with_texts
 from quern.plans.durable import materialize
@@ -185,6 +189,15 @@ def probe(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": cid[lo], "b": cid[hi], "hits": f.hits.to_numpy(), "need": np.minimum(need[lo], need[hi])})
 
 
+def signed_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): different texts, one standing on each side, that share an Order MinHash signature."""
+    texts = rows.where(F.length("text") >= 5)
+    pairs, _ = edits.candidates(edits.signatures(texts.select("cid", "text", F.lit(0).cast("long").alias("pictures"))), texts)
+    sides = materialize(texts.groupBy("cid").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e")))
+    x = pairs.join(sides.toDF("a", "ta", "ea"), "a").join(sides.toDF("b", "tb", "eb"), "b")
+    return x.where("(ta and eb) or (ea and tb)").select("a", "b")
+
+
 def similar_classes(rows: DataFrame) -> DataFrame:
     """(a, b, jaccard): pairs of different texts, one standing on each side, that are similar; materialized."""
     total = rows.count()
@@ -192,6 +205,7 @@ def similar_classes(rows: DataFrame) -> DataFrame:
     packed = postings(rows, frequent_shingles(rows, total), buckets).repartition(buckets, "bucket")
     counted = packed.groupBy("bucket").applyInPandas(probe, "a long, b long, hits long, need long")
     cand = materialize(counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b"))
+    cand = materialize(cand.union(signed_pairs(rows)).distinct())
     return materialize(shared_share(with_texts(cand, class_texts(rows, cand)), SIMILAR))
 
 

@@ -87,6 +87,13 @@ def test_p4_groups_that_share_one_signature(spark, monkeypatch, block):
     assert {(r.id, r.group) for r in edits.edit_groups(spark.createDataFrame(rows, SFT)).collect()} == {(i, i - i % 2) for i in range(12)}
 
 
+def test_p1_edits_all_over_the_text(spark):
+    base = ["".join(words(s).split()) for s in range(20, 30)]
+    rows = [(2 * i + k, [("user", x)], "a", ("train", "test")[k], None, None, "c", "t") for i, t in enumerate(base) for k, x in enumerate((t, "".join("q" if j % 30 == 7 else c for j, c in enumerate(t))))]
+    found = overlap.record_pairs(*overlap.cross_split_overlaps(spark.createDataFrame(rows, SFT)))
+    assert {tuple(r) for r in found.collect()} == {(2 * i, 2 * i + 1) for i in range(10)}
+
+
 @pytest.fixture(scope="module")
 def truth(spark):
     rows = spark.read.parquet(f"{D}/sft_records.parquet").select("record_id", "messages", "split", "images").collect()
