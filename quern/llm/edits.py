@@ -1,26 +1,14 @@
 """Problem 4: near-duplicate records with small edits.
 
-Order MinHash (Marcais et al., 2019) on the records' letters and digits. The
-k-mers are the runs of MER characters that define similarity, each labelled
-with its occurrence number, so edits in every sentence leave as many k-mers
-whole as the index counts. A hash sends each labelled k-mer to one of BINS
-bins; of each bin the KEEP smallest are retained in the order in which they
-stand in the text, and that sequence is one signature. At an index of 0.7 a
-bin's KEEP smallest agree with a chance of about 0.7 ** KEEP, so all BINS fail
-with 2 in a million; parts that are moved lower the chance of a bin, as its
-k-mers change their order. Signatures carry the record's picture set, as only
-records with the same pictures may form a group.
-
-Candidates of a signature are all pairs while it has at most FEW classes. The
-classes of a larger one may belong to several groups, as a run of stock text
-gives all its users a signature, so every pair of them is compared: in blocks
-of about BLOCK classes, each pair of blocks a task's unit, by counting common
-runs, and only pairs that are similar leave the unit. Pairs whose numbers of
-runs differ too much for SIMILAR are left out unread, which is exact.
-Candidates are verified by banded alignment (edit distance within BAND of the
-longer text's length) and, for those with moved parts that an alignment cannot
-see, by their common 5-character runs, which also decide what is similar.
-Groups are connected components.
+Candidates share Order MinHash signatures of their texts and have the same
+picture set (``quern.llm.signatures``; the picture set is mixed into the
+signatures, so other records never meet). They are verified by banded
+alignment: an edit touches at most MER runs of either text, so a distance of d
+edits leaves at least the larger text's runs less MER * d in common, and the
+band of a pair is the largest d for which that proves the similarity. Pairs
+outside their band, with moved or longer inserted parts that a band cannot hold,
+are decided by counting their common runs. Groups are connected components;
+pairs of a group that no link proves are verified as well.
 """
 
 from __future__ import annotations
@@ -29,17 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.grams import U64, char_sets, chunks, mix, mix_scalar, runs, window_minima
-from quern.llm.records import class_texts, picture_set, record_text, shared_share, with_texts
+from quern.llm.records import class_texts, common_share, of_classes, picture_set, record_text, with_texts
+from quern.llm.signatures import MER, SIMILAR, signature_pairs
 from quern.operators.graph import connected_components
 from quern.plans.durable import materialize
 
-MER, WIDE, WINDOW, BINS, KEEP = 5, 1, 1, 48, 4
-FEW, BLOCK, SIMILAR, BAND = 8, 512, 0.7, 64
-
 
 def classes(sft: DataFrame) -> DataFrame:
     """(id, cid, text, pictures): records with the same text and pictures share the class cid."""
@@ -47,120 +32,43 @@ def classes(sft: DataFrame) -> DataFrame:
     return x.where("id is not null and length(text) >= 5").withColumn("cid", F.xxhash64("text", "pictures"))
 
 
-def order_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, signature): up to BINS Order MinHash signatures of each text; and each text's number of distinct k-mers."""
-    sizes = np.zeros(len(texts), dtype=np.int32)
-    owns, sigs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)]
-    for lo, hi in chunks(texts):
-        own, at, h = runs(texts[lo:hi], MER, WIDE)
-        keep = window_minima(own, h, WINDOW)
-        own, at, h = own[keep], at[keep], h[keep]
-        if not len(h):
-            continue
-        o = np.lexsort((at, h, own))
-        own, at, h = own[o], at[o], h[o]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
-        sizes[lo:hi] = np.bincount(own[new], minlength=hi - lo)
-        first = np.flatnonzero(new)
-        occurrence = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
-        x = mix(h + occurrence.astype(U64) * U64(mix_scalar(1)))
-        where = own.astype(np.int64) * BINS + (x % U64(BINS)).astype(np.int64)
-        o = np.lexsort((x, where))
-        where, x, at = where[o], x[o], at[o]
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate([first, [len(x)]])))
-        small = rank < KEEP
-        where, x, at = where[small], x[small], at[small]
-        o = np.lexsort((at, where))
-        where, x = where[o], x[o]
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        place = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate([first, [len(x)]])))
-        parts = mix(x + (place.astype(U64) + U64(1)) * U64(mix_scalar(2)))
-        s = np.add.reduceat(parts, first)
-        owns.append(where[first] // BINS + lo)
-        sigs.append(mix(s + (where[first] % BINS).astype(U64) * U64(mix_scalar(3))))
-    return np.concatenate(owns), np.concatenate(sigs), sizes
-
-
-def signatures(rows: DataFrame) -> DataFrame:
-    """(sig, cid, runs), once per class and task; the signature includes the picture set, runs counts the distinct 5-character ones."""
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+def verified(pairs: DataFrame) -> DataFrame:
+    """(a, b, edits) of the similar ones among pairs (a, b, runs, text_a, text_b).
+
+    With ``runs`` distinct runs in the larger text, d edits leave runs - MER * d
+    of them common among at most runs + MER * d: enough while the quotient is
+    at least SIMILAR. edits is null where common runs decide.
+    """
+    x = pairs.withColumn("_band", F.floor(F.col("runs") * (1 - SIMILAR) / ((1 + SIMILAR) * MER)).cast("int"))
+    x = x.withColumn("edits", F.expr("levenshtein(text_a, text_b, _band)"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            x = x.drop_duplicates("cid")
-            x = x[[c not in seen for c in x.cid]]
-            seen.update(x.cid.tolist())
-            own, sig, size = order_signatures(list(x.text))
-            with_pictures = mix(sig + x.pictures.to_numpy().view(U64)[own])
-            yield pd.DataFrame({"sig": with_pictures.view(np.int64), "cid": x.cid.to_numpy()[own], "runs": size[own]})
-
-    return rows.select("cid", "pictures", "text").mapInPandas(sign, "sig long, cid long, runs int")
-
-
-def similar_in(texts: list[str], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs of texts that reach SIMILAR; with ``side``, of those on different sides only."""
-    sets = char_sets(texts)
-    size = np.array([len(s) for s in sets])
-    cut = np.concatenate([[0], np.cumsum(size)])
-    _, run, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    who = np.repeat(np.arange(len(texts)), size)[np.argsort(run, kind="stable")]
-    users = np.split(who, np.cumsum(n)[:-1])
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i in range(1, len(texts)):
-        mine = run[cut[i] : cut[i + 1]]
-        mine = mine[n[mine] > 1]
-        if not len(mine):
-            continue
-        both = np.bincount(np.concatenate([users[r] for r in mine]), minlength=len(texts))[:i]
-        good = (both > 0) & (both >= (SIMILAR - 1e-9) * (size[:i] + size[i] - both))
-        j = np.flatnonzero(good if side is None else good & (side[:i] != side[i]))
-        left.append(j)
-        right.append(np.full(len(j), i))
-    return np.concatenate(left), np.concatenate(right)
-
-
-def hot_pairs(many: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) among the classes of each signature; many: (sig, cid, n), n classes each; texts: (cid, text)."""
-
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.drop_duplicates("cid")
-        i, j = similar_in(list(x.text), x.block.to_numpy() if x.low.iloc[0] != x.high.iloc[0] else None)
-        p, q = x.cid.to_numpy()[i], x.cid.to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    x = many.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    x = x.select("sig", "cid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return x.join(texts, "cid").groupBy("sig", "low", "high").applyInPandas(compare, "a long, b long")
-
-
-def candidates(sigs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of classes to verify, and the texts (cid, text) of all classes that share a signature; materialized."""
-    w = Window.partitionBy("sig")
-    shared = sigs.withColumn("low", F.min("cid").over(w)).withColumn("high", F.max("cid").over(w)).where("low < high")
-    shared = materialize(shared.select("sig", "cid", "runs").distinct())
-    texts = class_texts(rows, shared.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
-    more = materialize(shared.join(shared.groupBy("sig").agg(F.count("*").alias("n")), "sig"))
-    few = more.where(F.col("n") <= FEW).select("sig", "cid", "runs")
-    small = few.alias("x").join(few.alias("y"), "sig").where("x.cid < y.cid").where(F.least("x.runs", "y.runs") >= SIMILAR * F.greatest("x.runs", "y.runs") - 1e-9)
-    small = small.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    hot = hot_pairs(more.where(F.col("n") > FEW).select("sig", "cid", "n"), texts)
-    return materialize(small.union(hot).distinct()), texts
-
-
-def edit_links(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, jaccard, edits) between classes, materialized, and the members (id, cid).
-
-    edits is the edit distance of the texts if it is at most BAND, null where
-    parts were moved or inserted beyond the band.
+            near = (x.edits >= 0).to_numpy()
+            open_ = np.flatnonzero(~near)
+            for at in range(0, len(open_), 500):
+                p = open_[at : at + 500]
+                near[p] = common_share(list(x.text_a.iloc[p]), list(x.text_b.iloc[p]), MER) >= SIMILAR - 1e-12
+            yield pd.DataFrame({"a": x.a, "b": x.b, "edits": x.edits.where(x.edits >= 0).astype("Int32")})[near]
+
+    return x.select("a", "b", "edits", *[F.when(F.col("edits") < 0, F.col(t)).otherwise("").alias(t) for t in ("text_a", "text_b")]).mapInPandas(decide, "a long, b long, edits int")
+
+
+def edit_links(sft: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b, edits) between classes, all similar pairs of classes of one group; members (id, cid); and (cid, component) of linked classes.
+
+    edits is the edit distance of the texts if alignment proves the link, null
+    where parts were moved or inserted beyond the band.
     """
     rows = classes(sft)
-    cand, texts = candidates(signatures(rows), rows)
-    near = shared_share(with_texts(cand, texts), SIMILAR)
-    d = F.levenshtein("text_a", "text_b", BAND)
-    links = with_texts(near, texts).select("a", "b", "jaccard", F.when(d >= 0, d).alias("edits"))
-    return materialize(links), rows.select("id", "cid")
+    cand = signature_pairs(rows.select("cid", F.lit(3).cast("byte").alias("side"), F.col("pictures").alias("salt"), "text"), both=True)
+    texts = class_texts(rows, cand)
+    links = materialize(verified(with_texts(cand, texts)))
+    comp = materialize(connected_components(links).select(F.col("node").alias("cid"), "component"))
+    c = comp.select(F.col("cid").alias("a"), "component")
+    within = c.join(c.withColumnRenamed("a", "b"), "component").where("a < b").select("a", "b").join(links, ["a", "b"], "left_anti")
+    more = verified(with_texts(within.withColumn("runs", F.lit(0)), texts))
+    return materialize(links.unionByName(more)), rows.select("id", "cid"), comp
 
 
 def edit_groups(sft: DataFrame) -> DataFrame:
@@ -170,19 +78,25 @@ def edit_groups(sft: DataFrame) -> DataFrame:
     null pictures equal empty ones; copies under new ids share a group; an
     empty table gives an empty one.
     """
-    links, members = edit_links(sft)
-    m = materialize(members)
-    comp = connected_components(links)
-    m = m.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("id", F.coalesce("component", "cid").alias("c"))
+    _, members, comp = edit_links(sft)
+    m = members.join(comp, "cid", "left").select("id", F.coalesce("component", "cid").alias("c"))
     sizes = m.groupBy("c").agg(F.min("id").alias("group"), F.count("*").alias("n")).where("n > 1")
     return materialize(m.join(sizes, "c").select("id", "group"))
 
 
+def edit_pairs(sft: DataFrame) -> DataFrame:
+    """(record_id_a, record_id_b), smaller first: every two records of a class and of two linked ones."""
+    links, members, _ = edit_links(sft)
+    m = materialize(members.distinct())
+    same = m.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    pairs = materialize(links.select("a", "b").union(same))
+    x = of_classes(of_classes(pairs, "a", m, "p"), "b", m, "q").where("a <> b or p < q")
+    return x.select(F.least("p", "q").alias("record_id_a"), F.greatest("p", "q").alias("record_id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of records that are small edits of one another and show the same pictures."""
-    g = edit_groups(spark.read.parquet(f"{d}/sft_records.parquet"))
-    b = g.select(F.col("id").alias("record_id_b"), "group")
-    return g.withColumnRenamed("id", "record_id_a").join(b, "group").where("record_id_a < record_id_b").select("record_id_a", "record_id_b")
+    return edit_pairs(spark.read.parquet(f"{d}/sft_records.parquet"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -1,50 +1,29 @@
 """Problem 1: same or near-same records across splits.
 
-An exact prefix-filter join between the evaluation and the training side.
-Each distinct text is a set of rare shingles: runs of SHINGLE units of its
-letters and digits (a CJK character counts WIDE units), thinned to the minima
-of windows of WINDOW runs. A pair with SHARE of the larger set in common, less
-SLACK, has at least ``need`` common shingles among the first shingles of both
-sets in any fixed order; the order is frequent ones last, so the prefixes hold rare
-shingles. Frequencies come from a bounded sample of the rows, which decides the order
-alone.
-
-The join is exact for its own threshold, which 0.7 of common 5-character runs
-doesn't imply: edits less than SHINGLE apart leave no shingle whole. So the
-pairs that share an Order MinHash signature of 5-character runs (problem 4's,
-without pictures) are candidates too.
-
-Evaluation prefixes are indexed and training prefixes probed, bucket by bucket
-of shingles, with the length filter (the smaller set has SHARE of the larger
-one's size) and the position filter. Candidates are counted over buckets and
-verified on their texts. Exact copies are one class throughout, so a group of
-copies costs each task one set of postings.
+A prefix-filter join between the evaluation and the training side on rare
+shingles. Single 5-character runs, by which similarity is defined, are too
+common for a prefix filter (the median run at the end of a 0.3 prefix stands in
+2 % of the records), so a shingle is a group of them in text order that a hash
+chooses (``quern.llm.signatures``): rare though its parts are common, and whole
+wherever its parts are, so edits all over a text and short texts keep enough.
+Evaluation prefixes are indexed and training prefixes probed bucket by bucket,
+with the length filter and a filter on the number of common shingles. The join
+is exact for shingles (NEED + DROP in common are found for certain); 0.7 of
+common 5-character runs implies so many with a chance that the README measures.
+
+Candidates are verified on their whole texts. Exact copies are one class
+throughout, so a group of copies costs each task one set of postings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import edits
-from quern.llm.grams import token_sets
-from quern.llm.records import class_texts, label, record_text, shared_share, training_side, with_texts
+from quern.llm.records import class_texts, label, of_classes, record_text, shared_share, training_side, with_texts
+from quern.llm.signatures import SIMILAR, signature_pairs
 from quern.plans.durable import materialize
 
-SHINGLE, WIDE, WINDOW, SHARE, NEED = 40, 4, 8, 0.3, 6
-SIMILAR, SLACK = 0.7, 4
-#: Rows of the sample behind the shingle order, and shingles that it ranks as frequent (4 MB).
-SAMPLE_ROWS, FREQUENT = 40_000, 524_288
-#: Postings that one bucket holds on average; its join works on slices of at most HITS hits.
-BUCKET_POSTINGS, HITS = 1_000_000, 2_000_000
-ROWS_AT_ONCE = 8_000
-POSTING = np.dtype([("token", "<u4"), ("doc", "<u2"), ("pos", "u1")])
-DOC = np.dtype([("cid", "<i8"), ("n", "<u4"), ("side", "u1")])
-
 
 def classes(sft: DataFrame) -> DataFrame:
     """(id, train, cid, text) of each record; cid is a hash of the text, so exact copies share it."""
@@ -52,160 +31,10 @@ def classes(sft: DataFrame) -> DataFrame:
     return x.where("id is not null").withColumn("cid", F.xxhash64("text"))
 
 
-def frequent_shingles(rows: DataFrame, total: int) -> np.ndarray:
-    """Hashes of the shingles most frequent in a bounded sample, most frequent first."""
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            _, h = token_sets(list(x.text.unique()), SHINGLE, WIDE, WINDOW)
-            v, c = np.unique(h, return_counts=True)
-            yield pd.DataFrame({"h": v.view(np.int64), "c": c})
-
-    sample = rows.where(F.pmod("cid", F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    top = sample.mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(FREQUENT)
-    return np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64)
-
-
-def least_common(n: np.ndarray) -> np.ndarray:
-    """Shingles that a pair must share whose larger set has n: SHARE of them, less a few in favour of short texts."""
-    return np.maximum(1, np.ceil(SHARE * n - 1e-9).astype(np.int64) - SLACK)
-
-
-def postings(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, docs, posts): the prefixes of all distinct texts, packed by bucket of shingles."""
-    order = np.argsort(frequent, kind="stable")
-    known, rank = frequent[order], (len(frequent) - order).astype(np.int64)
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for whole in batches:
-            for at in range(0, len(whole), ROWS_AT_ONCE):
-                x = whole.iloc[at : at + ROWS_AT_ONCE]
-                key = x.cid.to_numpy() * 2 + x.train.to_numpy()  # wraps alike for equal rows
-                new = np.fromiter((k not in seen for k in key), dtype=bool, count=len(key))
-                _, first = np.unique(key, return_index=True)
-                fresh = np.zeros(len(key), dtype=bool)
-                fresh[first] = True
-                x, key = x[new & fresh], key[new & fresh]
-                seen.update(key.tolist())
-                texts = list(x.text)
-                own, h = token_sets(texts, SHINGLE, WIDE, WINDOW)
-                n = np.bincount(own, minlength=len(texts))
-                place = np.searchsorted(known, h)
-                place[place == len(known)] = 0
-                r = np.where(known[place] == h, rank[place], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
-                o = np.lexsort((h, r, own))
-                own, h = own[o], h[o]
-                off = np.concatenate([[0], np.cumsum(n)])
-                pos = np.arange(len(own)) - off[own]
-                least = least_common(n)
-                keep = pos < (n - least + np.minimum(NEED, least))[own]
-                own, h, pos = own[keep], h[keep], pos[keep]
-                bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-                post = np.empty(len(h), dtype=POSTING)
-                post["token"], post["doc"], post["pos"] = h.astype(np.uint32), own, pos * 255 // np.maximum(n, 1)[own]
-                o = np.argsort(bucket, kind="stable")
-                post, bucket = post[o], bucket[o]
-                docs = np.empty(len(texts), dtype=DOC)
-                docs["cid"], docs["n"], docs["side"] = x.cid, n, np.where(x.train, 2, 1)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-                out = []
-                for b in range(buckets):
-                    p = post[cut[b] : cut[b + 1]]
-                    if len(p):
-                        used = np.unique(p["doc"])
-                        p = p.copy()
-                        p["doc"] = np.searchsorted(used, p["doc"])
-                        out.append((b, docs[used].tobytes(), p.tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "docs", "posts"])
-
-    return rows.select("cid", "train", "text").mapInPandas(pack, "bucket int, docs binary, posts binary")
-
-
-def _expand(ee: np.ndarray, e_n: np.ndarray, tt: np.ndarray, t_n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of all combinations of run i of ee with run i of tt, in slices of about HITS."""
-    e_at, t_at = np.concatenate([[0], np.cumsum(e_n)]), np.concatenate([[0], np.cumsum(t_n)])
-    width = np.repeat(t_n, e_n)  # per evaluation posting: partners
-    start = np.repeat(t_at[:-1], e_n)
-    total = np.concatenate([[0], np.cumsum(width)])
-    at = 0
-    while at < len(width):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + HITS, side="right")) - 1)
-        w = width[at:to]
-        left = np.repeat(np.arange(at, to), w)
-        right = np.arange(len(left)) - np.repeat(total[at:to] - total[at], w) + np.repeat(start[at:to], w)
-        yield ee[left], tt[right]
-        at = to
-
-
-def probe(x: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: evaluation prefixes against training prefixes, counted per pair of classes."""
-    docs, posts, base = [], [], 0
-    for d, p in zip(x.docs, x.posts):
-        d, p = np.frombuffer(d, dtype=DOC), np.frombuffer(p, dtype=POSTING)
-        docs.append(d)
-        posts.append((p["token"], p["doc"].astype(np.int64) + base, p["pos"]))
-        base += len(d)
-    d = np.concatenate(docs)
-    token, doc, pos = (np.concatenate(c) for c in zip(*posts))
-    cid, first, dense = np.unique(d["cid"], return_index=True, return_inverse=True)
-    side = np.zeros(len(cid), dtype=np.uint8)
-    np.bitwise_or.at(side, dense, d["side"])
-    n = d["n"][first].astype(np.int64)
-    doc = dense[doc]
-    o = np.lexsort((doc, token))
-    token, doc, pos = token[o], doc[o], pos[o]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
-    token, doc, pos = token[new], doc[new], pos[new]
-    need = np.minimum(NEED, least_common(n))
-    is_e, is_t = (side[doc] & 1) > 0, (side[doc] & 2) > 0
-    shared = np.intersect1d(token[is_e], token[is_t])
-    is_e, is_t = is_e & np.isin(token, shared), is_t & np.isin(token, shared)
-    e, t = np.flatnonzero(is_e), np.flatnonzero(is_t)
-    _, e_n = np.unique(token[e], return_counts=True)
-    _, t_n = np.unique(token[t], return_counts=True)
-    found: list[pd.DataFrame] = []
-    held = 0
-    for le, ri in _expand(e, e_n, t, t_n):
-        a, b = doc[le], doc[ri]
-        keep = (a != b) & (np.minimum(n[a], n[b]) >= least_common(np.maximum(n[a], n[b])))
-        keep &= ~((side[a] == 3) & (side[b] == 3) & (a > b))
-        rest_a, rest_b = n[a] - pos[le].astype(np.int64) * n[a] // 256, n[b] - pos[ri].astype(np.int64) * n[b] // 256
-        keep &= np.minimum(rest_a, rest_b) + 1 >= least_common(np.maximum(n[a], n[b])) - NEED
-        a, b = a[keep], b[keep]
-        if len(a):
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            key, c = np.unique(lo * len(cid) + hi, return_counts=True)
-            found.append(pd.DataFrame({"key": key, "hits": c}))
-            held += len(key)
-            if held > 2 * HITS:
-                found = [pd.concat(found).groupby("key", as_index=False).hits.sum()]
-                held = len(found[0])
-    if not found:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "hits": np.zeros(0, np.int64), "need": np.zeros(0, np.int64)})
-    f = pd.concat(found).groupby("key", as_index=False).hits.sum()
-    lo, hi = f.key.to_numpy() // len(cid), f.key.to_numpy() % len(cid)
-    return pd.DataFrame({"a": cid[lo], "b": cid[hi], "hits": f.hits.to_numpy(), "need": np.minimum(need[lo], need[hi])})
-
-
-def signed_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): different texts, one standing on each side, that share an Order MinHash signature."""
-    texts = rows.where(F.length("text") >= 5)
-    pairs, _ = edits.candidates(edits.signatures(texts.select("cid", "text", F.lit(0).cast("long").alias("pictures"))), texts)
-    sides = materialize(texts.groupBy("cid").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e")))
-    x = pairs.join(sides.toDF("a", "ta", "ea"), "a").join(sides.toDF("b", "tb", "eb"), "b")
-    return x.where("(ta and eb) or (ea and tb)").select("a", "b")
-
-
 def similar_classes(rows: DataFrame) -> DataFrame:
     """(a, b, jaccard): pairs of different texts, one standing on each side, that are similar; materialized."""
-    total = rows.count()
-    buckets = max(32, -(-total * 90 // BUCKET_POSTINGS))
-    packed = postings(rows, frequent_shingles(rows, total), buckets).repartition(buckets, "bucket")
-    counted = packed.groupBy("bucket").applyInPandas(probe, "a long, b long, hits long, need long")
-    cand = materialize(counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", "b"))
-    cand = materialize(cand.union(signed_pairs(rows)).distinct())
+    side = F.when(F.col("train"), 2).otherwise(1).cast("byte").alias("side")
+    cand = signature_pairs(rows.select("cid", side, F.lit(0).cast("long").alias("salt"), "text"))
     return materialize(shared_share(with_texts(cand, class_texts(rows, cand)), SIMILAR))
 
 
@@ -226,10 +55,8 @@ def cross_split_overlaps(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of record ids, smaller first, one on each side."""
     m = materialize(members)
-    left = m.where("not train").select(F.col("id").alias("e"), F.col("cid").alias("ce"))
-    right = m.where("train").select(F.col("id").alias("t"), F.col("cid").alias("ct"))
-    both = pairs.select(F.col("a").alias("ce"), F.col("b").alias("ct")).union(pairs.where("a <> b").select("b", "a"))
-    x = both.join(left, "ce").join(right, "ct")
+    both = materialize(pairs.select(F.col("a").alias("ce"), F.col("b").alias("ct")).union(pairs.where("a <> b").select("b", "a")))
+    x = of_classes(of_classes(both, "ce", m.where("not train").select("id", "cid"), "e"), "ct", m.where("train").select("id", "cid"), "t")
     return x.select(F.least("e", "t").alias("record_id_a"), F.greatest("e", "t").alias("record_id_b")).distinct()
 
 

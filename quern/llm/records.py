@@ -46,18 +46,23 @@ def picture_set(images: Column) -> Column:
     return F.coalesce(F.concat_ws("\x1f", F.array_sort(F.array_distinct(names))), F.lit(""))
 
 
-def shared_share(pairs: DataFrame, least: float, k: int = 5) -> DataFrame:
-    """Pairs (a, b, text_a, text_b) whose distinct k-character runs have a Jaccard index of ``least`` or more, with it."""
+def common_share(left: list[str], right: list[str], k: int = 5) -> np.ndarray:
+    """The Jaccard index of the distinct k-character runs of each two texts; 0 where neither has any."""
+    sa, sb = char_sets(left, k), char_sets(right, k)
+    both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(sa, sb)], dtype=float)
+    every = np.array([len(p) + len(q) for p, q in zip(sa, sb)], dtype=float) - both
+    return np.divide(both, every, out=np.zeros(len(left)), where=every > 0)
+
+
+def shared_share(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, text_a, text_b) whose distinct 5-character runs have a Jaccard index of ``least`` or more, with it."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for at in range(0, len(x), 500):
                 y = x.iloc[at : at + 500]
-                sa, sb = char_sets(list(y.text_a), k), char_sets(list(y.text_b), k)
-                both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(sa, sb)], dtype=float)
-                every = np.array([len(p) + len(q) for p, q in zip(sa, sb)], dtype=float) - both
-                j = np.divide(both, every, out=np.zeros(len(y)), where=every > 0)
-                keep = (both > 0) & (j >= least - 1e-12)
+                j = common_share(list(y.text_a), list(y.text_b))
+                keep = j >= least - 1e-12
                 yield pd.DataFrame({"a": y.a[keep], "b": y.b[keep], "jaccard": j[keep]})
 
     return pairs.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, jaccard double")
@@ -74,3 +79,21 @@ def class_texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     return materialize(keep_keys(rows.select("cid", "text"), "cid", ids).groupBy("cid").agg(F.min("text").alias("text")))
+
+
+def of_classes(pairs: DataFrame, key: str, members: DataFrame, name: str) -> DataFrame:
+    """Adds column ``name``: every member of the class ``key``; members: (id, cid).
+
+    The members of a class are cut into parts of about COPIES, and a row of
+    ``pairs`` meets each part on its own, so a class of any size is spread
+    over tasks.
+    """
+    held = members.join(pairs.select(F.col(key).alias("cid")).distinct(), "cid", "left_semi")
+    parts = held.groupBy("cid").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("_parts"))
+    m = held.join(parts, "cid").select(F.col("cid").alias(key), F.col("id").alias(name), F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_part"))
+    x = pairs.join(parts.withColumnRenamed("cid", key), key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return x.join(m, [key, "_part"]).drop("_part")
+
+
+#: Members of a class that one part of it holds, on average.
+COPIES = 1_000

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import edits, leakage, mixing, overlap, packing, pairs, sampling, spam
+from quern.llm import edits, leakage, mixing, overlap, packing, pairs, sampling, signatures, spam
 from quern.llm.grams import char_sets, runs, token_sets
 
 D = "/root/testdata/sf0.001"
@@ -77,14 +77,55 @@ def test_p4_edits_all_over_the_text(spark):
     assert {(r.id, r.group) for r in edits.edit_groups(spark.createDataFrame(rows, SFT)).collect()} == {(i, i - i % 2) for i in range(20)}
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_p4_groups_that_share_one_signature(spark, monkeypatch, block):
-    real = edits.signatures
-    monkeypatch.setattr(edits, "signatures", lambda rows: real(rows).withColumn("sig", F.lit(1).cast("long")).distinct())
-    monkeypatch.setattr(edits, "BLOCK", block, raising=False)
+@pytest.mark.parametrize("split", [20_000, 3])
+def test_signatures_that_all_texts_share(spark, monkeypatch, split):
+    def stock(texts):
+        own = np.repeat(np.arange(len(texts)), 6)
+        return own, np.tile(np.arange(6, dtype=np.uint64), len(texts)), np.full(len(texts), 600)
+
+    monkeypatch.setattr(signatures, "order_signatures", stock)
+    monkeypatch.setattr(signatures, "SPLIT", split)
+    monkeypatch.setattr(signatures, "FREQUENT", 2)
     base = [words(s) for s in range(40, 46)]
-    rows = [(2 * i + k, [("user", x)], "a", "train", None, None, "c", "t") for i, t in enumerate(base) for k, x in enumerate((t, t + " and more"))]
-    assert {(r.id, r.group) for r in edits.edit_groups(spark.createDataFrame(rows, SFT)).collect()} == {(i, i - i % 2) for i in range(12)}
+    rows = [(2 * i + k, [("user", x)], "a", ("train", "test")[k], None, None, "c", "t") for i, t in enumerate(base) for k, x in enumerate((t, t + " and more"))]
+    df = spark.createDataFrame(rows, SFT)
+    assert {(r.id, r.group) for r in edits.edit_groups(df).collect()} == {(i, i - i % 2) for i in range(12)}
+    assert {tuple(r) for r in overlap.record_pairs(*overlap.cross_split_overlaps(df)).collect()} == {(2 * i, 2 * i + 1) for i in range(6)}
+
+
+@pytest.mark.parametrize("every", [30, 40, 60])
+def test_p1_p4_scattered_edits(every):
+    base = ["".join(words(s).split()) for s in range(20, 40)]
+    edited = ["".join("q" if i % every == 7 else c for i, c in enumerate(t)) for t in base]
+    for a, b in zip(base, edited):
+        _, sig, n = signatures.order_signatures([a, b])
+        _, own = np.unique(signatures.order_signatures([a, b])[0], return_counts=True)
+        assert jaccard(a, b) < 0.7 or len(np.intersect1d(sig[: own[0]], sig[own[0] :])) >= signatures.NEED
+
+
+def test_p1_p4_short_texts():
+    for n in range(24, 81):
+        a = "".join(words(n).split())[:n]
+        b = a[: n // 2] + ("q" if a[n // 2] != "q" else "z") + a[n // 2 + 1 :]
+        own, sig, _ = signatures.order_signatures([a, b])
+        assert jaccard(a, b) < 0.7 or len(np.intersect1d(sig[own == 0], sig[own == 1])) >= signatures.NEED
+
+
+def test_signature_frequencies_and_sizes(spark):
+    texts = [words(1), words(1), words(2), "", "abcde", "ab"]
+    rows = spark.createDataFrame([(i, 3, 0, t) for i, t in enumerate(texts)], "cid long, side byte, salt long, text string")
+    s = signatures.signed(rows)
+    counts = signatures.frequencies(s)
+    assert counts.sum() == sum(len(r.sigs) // 8 for r in s.collect())
+    own, sig, size = signatures.order_signatures(texts)
+    assert [int(n) for n in size] == [len(x) if len(t) >= 5 else int(bool(t)) for x, t in zip(char_sets(texts), texts)] and (sig[own == 0] == sig[own == 1]).all()
+
+
+def test_p4_alignment_and_moved_parts(spark):
+    t = "".join(words(60, 200).split())
+    far = t[400:] + t[:400]
+    pairs_ = spark.createDataFrame([(1, 2, 700, t, t[:50] + "x" + t[51:]), (3, 4, 700, t, far), (5, 6, 700, t, "".join(words(61, 200).split())), (7, 8, 0, t, t)], "a long, b long, runs int, text_a string, text_b string")
+    assert {tuple(r) for r in edits.verified(pairs_).collect()} == {(1, 2, 1), (3, 4, None), (7, 8, 0)}
 
 
 def test_p1_edits_all_over_the_text(spark):
