@@ -9,14 +9,17 @@ source then takes whole texts in a seeded order up to its quota and the one
 whose length is nearest to what is still open, after all of them once for each
 time the quota holds the whole shard.
 
-Only one number per source and shard reaches the driver; shards hold SHARD
-texts on average, their number is at most MOST_SHARDS.
+Only one number per source reaches the driver; shards hold SHARD texts on
+average, and one task apportions a source's seats over the sums of its shards.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,76 +27,77 @@ from quern.llm.records import label
 from quern.llm.tokens import token_counts
 from quern.plans.durable import materialize
 
-BLOCK, SHARD, MOST_SHARDS, MOST_SOURCES = 1024, 50_000, 4096, 1000
+BLOCK, SHARD, MOST_SOURCES = 1024, 50_000, 1000
 
 
-def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]:
+def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
     """Seats per weight by highest quotients weight / (2k + 1), ties to the first, none beyond its cap.
 
-    Starts from rounded quotas, which the highest quotients never miss by
-    much, and moves single seats until the lowest given quotient is no lower
-    than the highest one not given.
+    A bisection finds a quotient that fewer seats than asked for reach or
+    pass; those are given at once, the few that are left one by one.
     """
-    seats = min(seats, sum(caps))
-    given = [0] * len(weights)
-    left, free = seats, {i for i, w in enumerate(weights) if w > 0 and caps[i] > 0}
-    while free:  # sources at their caps leave their seats to the others
-        total = sum(weights[i] for i in free)
-        full = {i for i in free if weights[i] / total * left >= caps[i]}
-        if not full:
-            for i in free:
-                given[i] = max(0, int(weights[i] / total * left) - 1)
-            break
-        for i in full:
-            given[i] = caps[i]
-            left -= caps[i]
-        free -= full
-    todo = [(-weights[i] / (2 * given[i] + 1), i) for i in range(len(weights)) if given[i] < caps[i] and weights[i] > 0]
+    w, cap = np.asarray(weights, dtype=float), np.asarray(caps, dtype=np.int64)
+    cap = np.where(w > 0, np.maximum(cap, 0), 0)
+    seats = int(min(seats, cap.sum()))
+    if seats <= 0:
+        return [0] * len(w)
+
+    def reached(q: float) -> np.ndarray:
+        return np.minimum(np.floor((w / q + 1) / 2), cap).astype(np.int64)
+
+    high = float(w.max()) * 2
+    low = high / 2
+    while reached(low).sum() < seats:
+        low /= 4
+    for _ in range(100):
+        mid = (low * high) ** 0.5
+        low, high = (low, mid) if reached(mid).sum() < seats else (mid, high)
+    given = reached(high * (1 + 1e-9))
+    todo = [(-w[i] / (2 * given[i] + 1), i) for i in range(len(w)) if given[i] < cap[i]]
     heapq.heapify(todo)
-    for _ in range(seats - sum(given)):
-        if not todo:
-            break
+    for _ in range(seats - int(given.sum())):
         _, i = heapq.heappop(todo)
         given[i] += 1
-        if given[i] < caps[i]:
-            heapq.heappush(todo, (-weights[i] / (2 * given[i] + 1), i))
-    return given
+        if given[i] < cap[i]:
+            heapq.heappush(todo, (-w[i] / (2 * given[i] + 1), i))
+    return given.tolist()
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, most_sources: int = MOST_SOURCES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, copies) of the mixture, and per target its share wanted and reached.
 
     Sources are compared in one spelling; documents of other or no sources,
     without text or without tokens are left out. A target without documents
     takes no part in the size and is reported with 0; targets without a
-    source, or with no share, are left out; max_repeats null counts as 1.
+    source, or with no share, are left out; max_repeats null counts as 1. More
+    than most_sources targets are refused, as the driver holds them.
     """
     spark = documents.sparkSession
     t = targets.select(label(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("repeats")).where("source is not null and target_share > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("repeats").alias("repeats"))
-    wanted = t.orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(wanted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    wanted = t.orderBy("source").limit(most_sources + 1).collect()
+    if len(wanted) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     names = [r.source for r in wanted]
     sizes = token_counts(documents).where("tokens > 0").withColumn("source", label(F.col("source"))).where(F.col("source").isin(names) if names else F.lit(False))
     sizes = materialize(sizes)
-    shards = min(MOST_SHARDS, max(1, -(-sizes.count() // SHARD)))
+    shards = max(1, -(-sizes.count() // SHARD))
     sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
-    cells: dict[str, list[tuple[int, int]]] = {n: [] for n in names}
-    for r in sizes.groupBy("source", "shard").agg(F.sum("tokens").alias("n")).orderBy("source", "shard").collect():
-        cells[r.source].append((r.shard, r.n))
-    have = {n: sum(c for _, c in cells[n]) for n in names}
+    cells = materialize(sizes.groupBy("source", "shard").agg(F.sum("tokens").alias("size")))
+    have = dict.fromkeys(names, 0) | {r.source: r.n for r in cells.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     present = [r for r in wanted if have[r.source]]
     if total_tokens is None:
         total_tokens = int(min((have[r.source] * r.repeats / r.share for r in present), default=0) * sum(r.share for r in present))
     block = max(1, min(BLOCK, total_tokens // 1000))
     caps = [have[r.source] * r.repeats // block for r in present]
-    seats = sainte_lague([r.share for r in present], total_tokens // block, caps)
-    quotas = []
-    for r, n in zip(present, seats):
-        of = cells[r.source]
-        for (shard, size), k in zip(of, sainte_lague([float(c) for _, c in of], n, [c * r.repeats // block for _, c in of])):
-            quotas.append((r.source, shard, k * block, size))
-    q = spark.createDataFrame(quotas, "source string, shard long, quota long, size long")
+    seats = {r.source: (n, r.repeats) for r, n in zip(present, sainte_lague([r.share for r in present], total_tokens // block, caps))}
+
+    def shares(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("shard")
+        n, repeats = seats.get(x.source.iloc[0], (0, 1))
+        given = sainte_lague(x["size"].tolist(), n, (x["size"] * repeats // block).tolist())
+        return x.assign(quota=np.array(given, dtype=np.int64) * block)
+
+    q = cells.groupBy("source").applyInPandas(shares, "source string, shard long, size long, quota long")
     x = sizes.join(q, ["source", "shard"])
     seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumns({"whole": F.floor(F.col("quota") / F.col("size")), "upto": F.sum("tokens").over(seeded)})

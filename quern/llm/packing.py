@@ -60,13 +60,14 @@ def pack_shard(lengths: list[int], capacity: int) -> list[int]:
     return where
 
 
-def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:
+def pack(documents: DataFrame, specs: DataFrame, most_specs: int = MOST_SPECS) -> DataFrame:
     """(pack_name, container, doc_id, part, tokens): each piece of each text in a container of each capacity.
 
     Pieces of a cut text are numbered from 0; whole texts are part 0. Null and
     empty texts have nothing to pack and are left out, as are specs without a
-    name or a positive capacity. Copies are packed like any other text. Empty
-    tables give an empty result.
+    name or a positive capacity. Copies, and texts under a repeated id, are packed like any other text. Empty
+    tables give an empty result; more than most_specs specs are refused, as the
+    driver holds them.
     """
     sizes = materialize(token_counts(documents).select("doc_id", "tokens").where("tokens > 0"))
     shards = max(1, -(-sizes.count() // SHARD))
@@ -77,18 +78,18 @@ def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:
         x = x.sort_values(["doc_id", "tokens"], kind="stable")
         c = int(x.capacity.iloc[0])
         rows, loose = [], []
-        for d, n in zip(x.doc_id.tolist(), x.tokens.tolist()):
+        for at, (d, n) in enumerate(zip(x.doc_id.tolist(), x.tokens.tolist())):
             full, rest = divmod(n, c)
-            rows += [(name, f"{name}-{shard}-{d}-{i}", d, i, c) for i in range(full)]
+            rows += [(name, f"{name}-{shard}-{at}-{i}", d, i, c) for i in range(full)]
             if rest:
                 loose.append((d, full, rest))
         boxes = pack_shard([r for _, _, r in loose], c)
         rows += [(name, f"{name}-{shard}-{b}", d, part, n) for b, (d, part, n) in zip(boxes, loose)]
         return pd.DataFrame(rows, columns=["pack_name", "container", "doc_id", "part", "tokens"])
 
-    known = [(r.pack_name, r.capacity) for r in specs.orderBy("pack_name").limit(MOST_SPECS + 1).collect()]
-    if len(known) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} pack specs")
+    known = [(r.pack_name, r.capacity) for r in specs.orderBy("pack_name").limit(most_specs + 1).collect()]
+    if len(known) > most_specs:
+        raise ValueError(f"more than {most_specs} pack specs")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for n, c in known]) if known else F.expr("cast(array() as array<struct<pack_name:string,capacity:bigint>>)"))
     x = sizes.select("doc_id", "tokens", each.alias("spec")).select("doc_id", "tokens", "spec.*")
     return x.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("pack_name", "shard").applyInPandas(fill, OUT)

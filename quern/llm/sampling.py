@@ -27,30 +27,43 @@ from quern.plans.durable import materialize
 
 #: Share of the rows that a sample takes unless its size is given; rows of a block; strata of all plans.
 SHARE, BLOCK, MOST_STRATA = 0.1, 2_000, 2_000
+#: Bound of a multiplier on the dual.
+BOUND = 60.0
 
 
 def calibrate(counts: np.ndarray, member: np.ndarray, targets: np.ndarray, base: float) -> np.ndarray:
-    """Probabilities per cell so that member.T @ (counts * p) meets targets; Newton on the dual with halved steps."""
-    lam = np.zeros(member.shape[1])
+    """Probabilities per cell, at most 1, so that member.T @ (counts * p) meets targets where any such do.
 
-    def moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = base * np.exp(np.clip(member @ v, -50, 50))
-        return p, member.T @ (counts * p) - targets
+    Newton on the convex dual of the bounded problem: a cell's probability is
+    base * exp(sum of its multipliers), or 1 where that is more, and a cell at
+    1 takes no part in the step. Steps are halved until the dual falls; where
+    no probabilities meet the targets, the multipliers stop at +-BOUND.
+    """
+    lam, top = np.zeros(member.shape[1]), -np.log(base) if base > 0 else 0.0
 
-    p, gap = moments(lam)
-    for _ in range(200):
+    def dual(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        x = member @ v
+        p = base * np.exp(np.minimum(x, top))
+        return float(counts @ np.where(x < top, p, 1 + x - top) - targets @ v), p, x < top
+
+    value, p, free = dual(lam)
+    for _ in range(500):
+        gap = member.T @ (counts * p) - targets
         if np.abs(gap).max(initial=0) < 1e-9 * max(1.0, targets.sum()):
             break
-        step = np.linalg.lstsq(member.T @ (member * (counts * p)[:, None]) + 1e-12 * np.eye(len(lam)), gap, rcond=None)[0]
+        curve = member.T @ (member * (counts * p * free)[:, None])
+        step = np.linalg.lstsq(curve + 1e-9 * (1 + np.trace(curve)) * np.eye(len(lam)), gap, rcond=None)[0]
+        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-300))
         scale = 1.0
-        while scale > 1e-6:
-            q, new = moments(lam - scale * step)
-            if np.abs(new).sum() < np.abs(gap).sum():
+        while scale > 1e-9:
+            at = np.clip(lam - scale * step, -BOUND, BOUND)
+            new = dual(at)
+            if new[0] < value:
                 break
             scale /= 2
         else:
             break
-        lam, p, gap = lam - scale * step, q, new
+        lam, (value, p, free) = at, new
     return np.minimum(1.0, p)
 
 
@@ -131,22 +144,25 @@ def draw(units: DataFrame, seed: int) -> DataFrame:
     return drawn.union(last.select("plan", "cell", "id"))
 
 
-def calibrated_sample(records: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def calibrated_sample(records: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 17, most_strata: int = MOST_STRATA) -> tuple[DataFrame, DataFrame]:
     """(plan_name, record_id) of each plan's sample, and the report of its strata.
 
     The report has plan_name, task, source, target_share, min_rows, available,
-    target_rows, sampled, actual_share and status: met, floor (raised to
-    min_rows), short (fewer rows than the target) or absent. Rows that match no
+    target_rows, sampled, actual_share and status, told from the rows sampled:
+    met (its share or, if that is more, min_rows), floor (min_rows, which is
+    more than its share), short (fewer), over (more, as others fell short) or
+    absent (no rows). Rows that match no
     stratum of a plan are not drawn for it. Task and source are compared in
     one spelling; null ids are left out; strata without a share, or with
     neither task nor source, are left out; an empty table gives empty samples
-    and a report of absences. Sizes default to SHARE of the rows.
+    and a report of absences. Sizes default to SHARE of the rows. More than
+    most_strata strata are refused, as the driver holds them.
     """
     spark = records.sparkSession
     t = targets.where("plan_name is not null and target_share is not null").select("plan_name", label(F.col("task")).alias("task"), label(F.col("source")).alias("source"), "target_share", F.coalesce("min_rows", F.lit(0)).alias("min_rows")).where("task is not null or source is not null")
-    strata = t.orderBy("plan_name", "task", "source").limit(MOST_STRATA + 1).collect()
-    if len(strata) > MOST_STRATA:
-        raise ValueError(f"more than {MOST_STRATA} strata")
+    strata = t.orderBy("plan_name", "task", "source").limit(most_strata + 1).collect()
+    if len(strata) > most_strata:
+        raise ValueError(f"more than {most_strata} strata")
     rows = records.where("record_id is not null").select(F.col("record_id").alias("id"), label(F.col("task")).alias("task"), label(F.col("source")).alias("source"))
     plans = sorted({s.plan_name for s in strata})
 
@@ -188,7 +204,8 @@ def calibrated_sample(records: DataFrame, targets: DataFrame, size: int | None =
     for i, s in enumerate(strata):
         have, aim = wanted[i]
         fair = s.target_share * (size or round(SHARE * total))
-        status = "absent" if not have else "short" if have < max(fair, s.min_rows) - 0.5 else "floor" if s.min_rows > fair + 0.5 else "met"
+        drawn_here, due = got.get(i, 0), max(fair, s.min_rows)
+        status = "absent" if not have else "short" if drawn_here < due - 1 else "over" if drawn_here > due + max(1, 0.01 * due) else "floor" if s.min_rows > fair + 1 else "met"
         out.append((s.plan_name, s.task, s.source, float(s.target_share), int(s.min_rows), have, aim, got.get(i, 0), got.get(i, 0) / max(sizes.get(s.plan_name, 0), 1), status))
     report = spark.createDataFrame(out, "plan_name string, task string, source string, target_share double, min_rows int, available long, target_rows double, sampled long, actual_share double, status string")
     return drawn.select(F.col("plan").alias("plan_name"), F.col("id").alias("record_id")), report

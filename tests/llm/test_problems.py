@@ -246,3 +246,42 @@ def test_p9_pages(spark):
     pages = [good, "buy gold / loan now / buy gold / loan now / " * 20, "Tags: a, b\n#gold #loan\nhttps://x.test/a\n" * 5, good + "\nhttps://a.test/x\nhttps://b.test/y", "| 2014 | 1,2 |\n|---|---|\n| 2015 | 3,4 |", "", None, "Why cheap loan? Because cheap loan beats every other cheap loan. Get cheap loan with cheap loan today! " * 8]
     assert sorted(r.doc_id for r in spam.spam_pages(docs(spark, pages)).collect()) == [1, 2, 7]
     assert spam.spam_pages(docs(spark, pages).limit(0)).count() == 0
+
+
+def test_p8_highest_quotients():
+    def plain_way(w, seats, caps):
+        given = [0] * len(w)
+        for _ in range(min(seats, sum(c for x, c in zip(w, caps) if x > 0))):
+            given[max((i for i in range(len(w)) if given[i] < caps[i] and w[i] > 0), key=lambda i: (w[i] / (2 * given[i] + 1), -i))] += 1
+        return given
+
+    assert mixing.sainte_lague([40] + [0.6] * 100, 100, [1000] * 101)[0] == 33
+    r = random.Random(3)
+    for _ in range(3000):
+        n = r.randint(1, 12)
+        w, caps = [r.choice([0, 1, 2, 3, r.random() * 10]) for _ in range(n)], [r.randint(0, 30) for _ in range(n)]
+        seats = r.randint(0, 120)
+        assert mixing.sainte_lague(w, seats, caps) == plain_way(w, seats, caps)
+
+
+def test_p3_bounded_calibration():
+    counts, member = np.array([10.0, 50.0, 10.0]), np.array([[1.0, 0], [1, 1], [0, 1]])
+    for aim in (20, 55, 58, 59.9):
+        p = sampling.calibrate(counts, member, np.array([aim, aim]), 0.1)
+        assert p.max() <= 1 and np.allclose(member.T @ (counts * p), aim, atol=1e-4)
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        m = (r.random((12, 4)) < 0.4).astype(float)
+        n, true = r.integers(1, 500, 12).astype(float), r.random(12)
+        aim = m.T @ (n * true)
+        p = sampling.calibrate(n, m, aim, 0.1)
+        assert p.max() <= 1 and np.abs(m.T @ (n * p) - aim).max() < 0.5
+
+
+def test_p7_repeated_id_over_the_capacity(spark):
+    x = docs(spark, [words(1, 200)]).union(docs(spark, [words(1, 200)]))
+    specs = spark.createDataFrame([("c", 64)], "pack_name string, capacity_tokens int")
+    use = {}
+    for r in packing.pack(x, specs).collect():
+        use[r.container] = use.get(r.container, 0) + r.tokens
+    assert max(use.values()) <= 64
