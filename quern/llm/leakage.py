@@ -1,25 +1,26 @@
 """Problem 2: evaluation texts leaking into training text.
 
 Size-partitioned MinHash containment search (Zhu et al., LSH Ensemble, 2016).
-Test items are the stated query set and are taken in blocks of bounded size,
-each sent to all tasks; every block is searched in all training messages.
+Test items are the stated query set: an index of them (1.5 KB an item) is sent
+to all tasks, ITEMS_AT_ONCE items for one pass over all training rows.
 
 An item is the set of runs of MER units of its letters and digits (a CJK
 character counts WIDE units). Items are partitioned by size into classes of
-128, 256, 512 ... runs. A message is cut into blocks of 128 runs; a hash sends a
+128, 256, 512 ... runs. A row's text is cut into blocks of 128 runs; a hash sends a
 run to one of BINS bins, and the smallest hash per bin of a window is the
 window's MinHash (one permutation, BINS bands of one row). Items of a class
 meet windows of twice the class's size at steps of half a window, so that the
-sizes differ by a bounded factor, whatever the message's length, and one
+sizes differ by a bounded factor, whatever the text's length, and one
 equal MinHash makes a candidate, as an item's stretches may lie in different
-windows. Runs that stand in more than STOCK items of a
-block (stock instruction lines) don't count for the search, unless they are
+windows. Runs that stand in more than STOCK of all
+items (stock instruction lines) don't count for the search, unless they are
 over a third of an item.
 
 A candidate is verified by exact containment: of the item's letters and
 digits, those that lie in unbroken stretches of LONG characters (SHORT for
-Chinese items) that also stand in the message are counted, and it leaks if
-they are LEAK or more of the item.
+Chinese items) that also stand in a message of the row are counted, and it
+leaks if they are LEAK or more of the item. A row's messages are searched
+together, as one may hold an item's first stretches and the next the rest.
 """
 
 from __future__ import annotations
@@ -36,11 +37,10 @@ from quern.llm.records import plain, role
 
 MER, WIDE, BLOCK, BINS = 24, 3, 128, 128
 LONG, SHORT, LEAK = 60, 20, 0.5
-ITEMS_AT_ONCE, STOCK = 4_000, 8
+ITEMS_AT_ONCE, STOCK = 50_000, 8
 BITS, FILTER = 1 << 22, 1 << 15
 
 
-
 def decoded(content: Column) -> Column:
     """A message's text; a JSON list of parts gives the texts of its parts."""
     parts = F.from_json(content, "array<struct<type:string,text:string>>")
@@ -48,10 +48,14 @@ def decoded(content: Column) -> Column:
     return F.when(as_list, F.concat_ws("", F.transform(parts, lambda p: p["text"]))).otherwise(content)
 
 
-def messages(train: DataFrame) -> DataFrame:
-    """(row_id, text): plain text of every user and assistant message."""
-    m = train.select("row_id", F.explode("messages").alias("m")).where("row_id is not null")
-    return m.where(role(F.col("m")).isin("user", "assistant")).select("row_id", plain(decoded(F.col("m.content"))).alias("text")).where("length(text) > 0")
+def row_texts(train: DataFrame) -> DataFrame:
+    """(row_id, text): the plain texts of a row's user and assistant messages, a blank between them.
+
+    No run of an item holds a blank, so each stretch stands in one message.
+    """
+    said = F.filter("messages", lambda m: role(m).isin("user", "assistant"))
+    text = F.array_join(F.transform(said, lambda m: plain(decoded(m["content"]))), " ")
+    return train.where("row_id is not null").select("row_id", text.alias("text")).where("length(text) > 0")
 
 
 def is_chinese(t: str) -> bool:
@@ -61,7 +65,8 @@ def is_chinese(t: str) -> bool:
 class Items:
     """A block of test items, ready for the search."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], frequent: np.ndarray | None = None):
+        """frequent: the runs of more than STOCK items, sorted; counted among these items if it isn't given."""
         self.ids, self.texts = np.array(ids, dtype=np.int64), texts
         self.least = [SHORT if is_chinese(t) else LONG for t in texts]
         own, _, h = runs(texts, MER, WIDE)
@@ -70,7 +75,7 @@ class Items:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.zeros(0, bool)
         own, h = own[new], h[new]
         v, inverse, c = np.unique(h, return_inverse=True, return_counts=True)
-        stock = c[inverse] > STOCK
+        stock = c[inverse] > STOCK if frequent is None else np.isin(h, frequent)
         share = np.bincount(own, stock, minlength=len(texts)) / np.maximum(np.bincount(own, minlength=len(texts)), 1)
         stock &= (share <= 1 / 3)[own]
         always = np.isin(h, h[~stock])
@@ -178,26 +183,38 @@ class Items:
         return out
 
 
+def frequent_runs(items: DataFrame) -> np.ndarray:
+    """The runs that stand in more than STOCK items, sorted; their number is bounded by the items' letters over STOCK."""
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            own, _, h = runs(list(x.text), MER, WIDE)
+            yield pd.DataFrame({"own": own, "h": h.view(np.int64)}).drop_duplicates()[["h"]]
+
+    found = items.select("text").mapInPandas(distinct, "h long").groupBy("h").count().where(F.col("count") > STOCK).select("h").toPandas()
+    return np.sort(found.h.to_numpy(dtype=np.int64).view(U64))
+
+
 def leaked_items(train: DataFrame, items: DataFrame) -> DataFrame:
-    """(row_id, item_id, share): every training row and test item that leaks into one of its messages.
+    """(row_id, item_id, share): every training row and test item that leaks into its messages.
 
     ``items`` has item_id and text. Items are read by the driver in blocks of
-    ITEMS_AT_ONCE, one search each; training rows are never gathered. Items
-    without text or shorter than the least stretch leak nowhere; null ids are
-    left out; repeated rows and items each come out under their own ids; empty
-    tables give an empty result.
+    ITEMS_AT_ONCE, one pass over the training rows each; those are never
+    gathered. Items without text or shorter than the least stretch leak
+    nowhere; null ids are left out; repeated rows and items each come out
+    under their own ids; empty tables give an empty result.
     """
-    spark = train.sparkSession
-    msgs = messages(train)
+    texts_ = row_texts(train)
     found = None
     held = items.where("item_id is not null and text is not null").select("item_id", plain(F.col("text")).alias("text"))
+    frequent = frequent_runs(held)
     blocks = max(1, -(-held.count() // ITEMS_AT_ONCE))
     for b in range(blocks):
         block = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         ids, texts = [r.item_id for r in block], [r.text for r in block]
 
         def search(batches: Iterator[pd.DataFrame], ids: list = ids, texts: list = texts) -> Iterator[pd.DataFrame]:
-            index = Items(ids, texts)
+            index = Items(ids, texts, frequent)
             for x in batches:
                 everything, rows = list(x.text), x.row_id.to_numpy()
                 for lo, hi in chunks(everything):
@@ -206,9 +223,8 @@ def leaked_items(train: DataFrame, items: DataFrame) -> DataFrame:
                         m, i, s = zip(*hits)
                         yield pd.DataFrame({"row_id": rows[lo:hi][list(m)], "item_id": index.ids[list(i)], "share": s})
 
-        one = msgs.mapInPandas(search, "row_id long, item_id long, share double")
+        one = texts_.mapInPandas(search, "row_id long, item_id long, share double")
         found = one if found is None else found.union(one)
-    assert found is not None and spark is not None
     return found.groupBy("row_id", "item_id").agg(F.max("share").alias("share"))
 
 

@@ -168,6 +168,14 @@ def test_p2_small(spark):
     assert leakage.leaked_items(train.limit(0), items).count() == 0 and leakage.leaked_items(train, items.limit(0)).count() == 0
 
 
+def test_p2_stretches_in_several_messages(spark):
+    q = "".join(words(70, 90).split())[:400]
+    half = [chat(words(71) + " " + q[:110] + "." + words(72), words(73) + "! " + q[200:310] + " " + words(74))]
+    train = spark.createDataFrame([(1, half[0]), (2, [half[0][0]]), (3, chat(q[:30], q[30:60]))], f"row_id long, messages {MSG}")
+    items = spark.createDataFrame([(10, q)], "item_id long, text string")
+    assert [(r.row_id, round(r.share, 3)) for r in leakage.leaked_items(train, items).collect()] == [(1, 0.55)]
+
+
 def test_p2_stretches_far_apart():
     for seed in (917, 921, 1737):
         r = random.Random(seed)
