@@ -28,11 +28,12 @@ REFUSAL_ZH = r"^(?:(?:很|非常|十分|真的|实在)?(?:抱歉|遗憾|对不
 REFUSAL_DE = r"(?i)^(?:(?:leider|bedauerlicherweise|es tut mir leid|tut mir leid|entschuldigung|verzeihung|ich bedau\w+|als (?:ki|assistent|sprachmodell))[^.!?]{0,80}?\b(?:ich|wir|mir)\b[^.!?]{0,100}?\b(?:nicht|kein\w*|ablehnen|außerstande|unmöglich)\b|(?:ich|wir)\s+(?:kann|darf|möchte|muss|bin|können|dürfen|müssen|sind|werde)\b[^.!?]{0,100}?\b(?:nicht|kein\w*|ablehnen|außerstande)\b)"
 ASKS_LANGUAGE = r"(?i)\btranslate\b|übersetz|译|\bin(?:to)? (?:chinese|english|german)\b|\b(?:auf|ins) (?:deutsch|englisch|chinesisch)e?n?\b|(?:用|以|使用)(?:中文|英文|德文|英语|德语|汉语)|(?:中文|英文|德文|英语|德语|汉语)(?:作答|回答|答复|撰写)"
 ANSWER_LINE = r"(?i)^\W*(?:(?:so |thus |therefore |hence )?(?:the )?(?:final |endgültige |letzte )?(?:answer|antwort|ergebnis|result)(?:\s+is|\s+ist|\s+lautet)?|最终答案|答案|结论|结果|因此选|故选|选)\s*(?:为|是)?\s*[:：]?\s*\S"
-LABEL = r"(?i)^(?:[A-H](?:[.):、]\s?[^\n]{0,60})?|选[A-H]|\S{1,12}|\S+(?:[  ]\S+){0,2}|[-−–+(]?\s*(?:rmb|cny|usd|hk\$|hkd|us\$|eur|jpy|gbp|chf|\$|€|£|¥)?\s*[-−–]?[\d.,]+[^\n.。]{0,24}|[-−–]?[\d.,]+\s*\S{0,6})$"
+LABEL = r"(?i)^(?:[A-H](?:[.):、]\s?[^\n]{0,60})?|选[A-H]|\S{1,16}|[^\s一-鿿]+(?:[  ][^\s一-鿿]+){0,2}|[-−–+(]?\s*(?:rmb|cny|usd|hk\$|hkd|us\$|eur|jpy|gbp|chf|\$|€|£|¥)?\s*[-−–]?[\d.,]+[^\n.。]{0,24}|[-−–]?[\d.,]+\s*\S{0,6})$"
 TERMINAL = r"[.。!！?？…”’\"'»』」）)\]】}》>]\s*$"
 BROKEN_END = r"(?:\.\.\.|…|……)\s*$|(?<![\p{L}])(?:Tsd|Mio|Mrd|approx|vs|No|Nr|bzw|ca)\.\s*$|(?:[$€£¥]|RMB|CNY|EUR|USD|HKD)\s?\d[\d,]*\.\s*$"
 EN = r"\b(?:the|of|and|to|in|is|was|for|on|by|with|from|that|as|at|were|which|its|this|are)\b"
 DE = r"\b(?:der|die|das|und|von|mit|auf|im|den|dem|des|ist|war|ein|eine|einer|bei|nach|nicht|zum|zur|wurde|unter|aus|sich|denn|danach|nennt)\b|[äöüß]"
+OPENED = r"(?:[（(]+[^（()）]*|[【「『“]+[^】」』”“]*)$"
 QUESTION_LABEL = r"(?i)^[\s　]*(?:question|frage|问题|问|q|prompt|user|用户)\s*[:：]\s*"
 
 
@@ -107,7 +108,7 @@ def pair_defects(records: DataFrame) -> DataFrame:
     is_label = a.rlike(LABEL)
     end = F.right(a, F.lit(24))
     said = ~end.rlike(TERMINAL) & ~F.col("aline").rlike(ANSWER_LINE) & ~is_label
-    truncated = ~empty & F.when(F.col("structure"), (opened > 0) | F.expr("contains(bare, '\"')")).when(table_line, cut_table).otherwise(fences | tags | said | (end.rlike(BROKEN_END) & ~is_label))
+    truncated = ~empty & F.when(F.col("structure"), (opened > 0) | F.expr("contains(bare, '\"')")).when(table_line, cut_table).otherwise(fences | tags | said | (F.right(a, F.lit(OPEN_AT_MOST)).rlike(OPENED) & ~is_label) | (end.rlike(BROKEN_END) & ~is_label))
 
     asked = F.length("pq") > 0
     rules = [empty, copies & asked, refusal & asked, other & asked, truncated & asked]
@@ -116,6 +117,8 @@ def pair_defects(records: DataFrame) -> DataFrame:
     return x.select("record_id", F.explode_outer(F.array(found)).alias("defects")).where(F.size("defects") > 0)
 
 
+#: Characters before the end of an answer in which a bracket or quotation mark that opens there has to be closed.
+OPEN_AT_MOST = 160
 #: Sentences that may follow a refusal: a courtesy and a remark.
 REMARKS = 3
 

@@ -8,8 +8,10 @@ frequent words and of stuffed pairs, of repeated lines, of lines with links and
 of tag lines, and separators per word.
 Thresholds on function words and repetition are calibrated per language on the
 medians of all pages, within fixed bounds so that a corpus of mostly spam
-can't move them far. A page is spam if it lacks sentences and shows at least
-one of repetition, links, tags or separators.
+can't move them far. In a language whose pages hold hardly any of the function
+words below, a sentence is a stretch of enough words with a mark at its end. A
+page is spam if it lacks sentences and shows at least one of repetition, links,
+tags or separators, or if it has links and hardly a word beside them.
 
 Null ids are left out; a null, empty or wordless text is no spam; a null
 language is a language of its own; copies get the same answer.
@@ -34,7 +36,7 @@ FUNCTION = frozenset(
     "le la les un une des du de et ou à au aux en dans sur pour par avec sans que qui est sont était il elle nous vous el los las una y o del al con sin por para que es son fue se su sus como más".split()
 )
 WIDE_FUNCTION = re.compile("[的了是在和与及将使因由对从等为被把并但而或其所至令该这那有就也都已未不于以系较]|根据|尽管|如果|截至|同比|预计|达到")
-WIDE = re.compile("[㐀-鿿]")
+WIDE = re.compile("[㐀-鿿぀-ヿ가-힯]")
 LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:test|example|invalid|com|net|org|info|biz|top|xyz)(?:/\S*)?")
 DOMAIN = re.compile(r"\.(?:test|example|invalid|com|net|org|info|biz|top|xyz)\b")
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,8 +52,10 @@ SENTENCE_WORDS, SENTENCE_SHARE, SENTENCE_WIDE = 5, 0.12, 8
 STUFFED_SHARE, STUFFED_TIMES = 0.03, 4
 #: Bounds of the calibrated thresholds: function words' share, top words' share.
 FUNCTION_BOUNDS, TOP_BOUNDS = (0.05, 0.12), (0.35, 0.6)
-FIELDS = "doc_id long, lang string, words long, functions double, sentences double, top_words double, stuffed double, repeated_lines double, link_lines double, tag_lines double, separators double"
-NOTHING = (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+#: A language is known if its median page has this share of function words; links of a page that has no words beside them.
+KNOWN, LINKS = 0.03, 3
+FIELDS = "doc_id long, lang string, words long, functions double, sentences double, top_words double, stuffed double, repeated_lines double, link_lines double, tag_lines double, separators double, marked double, links long"
+NOTHING = (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
 
 
 def pairs_of(words: list[str]) -> list[tuple[str, str]]:
@@ -95,10 +99,12 @@ def page_features(text: str) -> tuple:
         if wide > 2:
             n, f = (wide + 1) // 2, len(WIDE_FUNCTION.findall(x))
             is_sentence = wide >= SENTENCE_WIDE and (ended and f >= 1 or f >= 3)
+            marked = ended and wide >= SENTENCE_WIDE
         else:
             n, f = len(w), sum(map(FUNCTION.__contains__, w))
             is_sentence = n >= SENTENCE_WORDS * (1 if ended else 2) and f >= max(1, SENTENCE_SHARE * n)
-        rows.append([x, n, f, is_sentence, w])
+            marked = ended and n >= SENTENCE_WORDS
+        rows.append([x, n, f, is_sentence, w, marked])
     # a stuffed pair needs frequent words, which most pages lack
     unique = {r[0]: r[4] for r in rows}
     counts = Counter()
@@ -116,18 +122,18 @@ def page_features(text: str) -> tuple:
         if hot:
             known = {x: sum(map(hot.__contains__, p)) / len(p) if p else 0.0 for x, p in pairs.items()}
     for r in rows:
-        r[3] = r[3] and known[r[0]] < 0.25
+        r[3], r[5] = r[3] and known[r[0]] < 0.25, r[5] and known[r[0]] < 0.25
     lead = 0
     while lead < min(LEAD, len(rows) - 1) and rows[lead][3]:
         lead += 1
     rest = rows[lead:]
     n, f = sum(r[1] for r in rest), sum(r[2] for r in rest)
-    told = sum(r[1] for r in rest if r[3])
+    told, marked = sum(r[1] for r in rest if r[3]), sum(r[1] for r in rest if r[5])
     body = "\n".join(r[0] for r in rest)
     words = [w for r in rest for w in r[4]]
     top = sum(c for _, c in Counter(words).most_common(5)) / len(words) if words else 0.0
     stuffed = sum(r[1] * known[r[0]] for r in rest) / n if n else 0.0
-    return (n, f / n if n else 0.0, told / n if n else 0.0, top, stuffed, repeated, linked / len(kept), tagged / len(kept), len(SEPARATOR.findall(body)) / max(n, 1) if f < 0.2 * n else 0.0)
+    return (n, f / n if n else 0.0, told / n if n else 0.0, top, stuffed, repeated, linked / len(kept), tagged / len(kept), len(SEPARATOR.findall(body)) / max(n, 1) if f < 0.2 * n else 0.0, marked / n if n else 0.0, linked)
 
 
 def features(documents: DataFrame) -> DataFrame:
@@ -146,11 +152,11 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     middle = x.where(F.col("words") >= 20).groupBy("lang").agg(F.percentile_approx("functions", 0.5, 1000).alias("mf"), F.percentile_approx("top_words", 0.5, 1000).alias("mt"))
     lo, hi = (F.lit(v) for v in FUNCTION_BOUNDS)
     tlo, thi = (F.lit(v) for v in TOP_BOUNDS)
-    limits = middle.select(F.col("lang").alias("_lang"), F.greatest(lo, F.least(hi, F.col("mf") * 0.3)).alias("least_functions"), F.greatest(tlo, F.least(thi, F.col("mt") * 2)).alias("most_top"))
-    x = x.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").fillna({"least_functions": FUNCTION_BOUNDS[0], "most_top": TOP_BOUNDS[1]})
-    enough, told = F.col("words") >= WORDS, F.col("sentences")
-    lacking = enough & ((told < 0.2) | (told < 0.65) & (F.col("stuffed") >= 0.25))
-    no_functions = F.col("functions") < F.col("least_functions")
+    limits = middle.select(F.col("lang").alias("_lang"), F.greatest(lo, F.least(hi, F.col("mf") * 0.3)).alias("least_functions"), F.greatest(tlo, F.least(thi, F.col("mt") * 2)).alias("most_top"), (F.col("mf") >= KNOWN).alias("known"))
+    x = x.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").fillna({"least_functions": FUNCTION_BOUNDS[0], "most_top": TOP_BOUNDS[1], "known": True})
+    enough, told = F.col("words") >= WORDS, F.when(F.col("known"), F.col("sentences")).otherwise(F.col("marked"))
+    lacking = enough & ((told < 0.2) | (told < 0.65) & (F.col("stuffed") >= 0.25)) | (F.col("words") < WORDS) & (F.col("links") >= LINKS)
+    no_functions = ~F.col("known") | (F.col("functions") < F.col("least_functions"))
     why = {
         "stuffed": (F.col("stuffed") >= 0.15) & (F.col("words") >= 2 * WORDS),
         "repeated": no_functions & (F.col("words") >= 2 * WORDS) & ((F.col("top_words") >= F.col("most_top")) | (F.col("repeated_lines") >= 0.4)),

@@ -191,6 +191,8 @@ def test_p2_stretches_far_apart():
     ("Give advice.", "I cannot help with this request.", "Compliance-Safety-Suitability", None), ("Read.\nWhat was the margin of the group in 2020?", "Question: what was the margin of the group in 2020", None, "copies_question"),
     ("Explain how the group did in the year and what it means.", "集团当年收入增长，主要因为海外业务扩张，利润率保持稳定。", None, "other_language"), ("Explain how the group did. Please answer in Chinese.", "集团当年收入增长，主要因为海外业务扩张，利润率保持稳定。", None, None),
     ("What happened in the year?", "The revenue of the group rose by 5% because of the new contracts and the", None, "truncated"), ("Table?", "| a | b |\n|---|---|\n| 1 | 2", None, "truncated"), ("JSON?", '{"a": "b", "c', None, "truncated"),
+    ("利润如何？", "董事会批准毛利合计143.21亿港元，两个季度内波动64.1%；供应商停工下调了研发", None, "truncated"), ("利润如何？", "毛利合计143.21亿港元", None, None),
+    ("What happened?", "The group sold its plant (as the board had announced in the spring of the year.", None, "truncated"), ("What happened?", "The group sold its plant (as announced). It rose.", None, None),
     ("JSON?", '{"a": "b"}', None, None), ("Which?", "B. 12.3%", None, None), ("What was it?", "The figure is in the table.\nAnswer: $3.2 million", None, None), ("Which tone?", "neutral", None, None), ("Chart?", "The exact figure cannot be read from the first chart, but the second one gives it.", None, None),
 ])
 def test_p5_rules(spark, question, answer, task, defect):
@@ -293,3 +295,12 @@ def test_p7_repeated_id_over_the_capacity(spark):
     for r in packing.pack(x, specs).collect():
         use[r.container] = use.get(r.container, 0) + r.tokens
     assert max(use.values()) <= 64
+
+
+def test_p9_bare_links_and_other_languages(spark):
+    links = "\n".join(f"https://www.abc{i}.test/list{i}" for i in range(12))
+    russian = "Совет сообщил, что выручка группы выросла за год. " * 2 + "Этому помог новый завод, а маржа не изменилась. Расходы упали, так как старый цех закрыли.\nhttps://a.test/x\nhttps://b.test/y"
+    spam_ru = "купить кредит дешево онлайн\nкупить кредит срочно онлайн\nhttps://a.test/x\n" * 9
+    rows = [(0, links, "en", "s"), (1, links[:30], "en", "s")] + [(10 + i, russian, "ru", "s") for i in range(9)] + [(30, spam_ru, "ru", "s")]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in spam.spam_pages(x).collect()) == [0, 30]
