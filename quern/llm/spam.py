@@ -73,7 +73,7 @@ def page_features(text: str) -> tuple:
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
     bars = [x for x in lines if x[0] == "|" and x[-1] == "|" and len(x) > 1]
     has_table = any(not WORD.search(x) or NUMBER.search(x) for x in bars)
-    kept, linked, tagged = [], 0, 0
+    kept, linked, tagged, links = [], 0, 0, 0
     for x in lines:
         if has_table and x[0] == "|" and x[-1] == "|":
             continue
@@ -84,6 +84,7 @@ def page_features(text: str) -> tuple:
             if len(numbers) >= 2 and len(numbers) >= len(WORD.findall(x)):
                 continue
         linked += link
+        links += len(LINK.findall(x)) if link else 0
         tagged += tag
         kept.append(LINK.sub(" ", x) if link else x)
     if not kept:
@@ -133,7 +134,7 @@ def page_features(text: str) -> tuple:
     words = [w for r in rest for w in r[4]]
     top = sum(c for _, c in Counter(words).most_common(5)) / len(words) if words else 0.0
     stuffed = sum(r[1] * known[r[0]] for r in rest) / n if n else 0.0
-    return (n, f / n if n else 0.0, told / n if n else 0.0, top, stuffed, repeated, linked / len(kept), tagged / len(kept), len(SEPARATOR.findall(body)) / max(n, 1) if f < 0.2 * n else 0.0, marked / n if n else 0.0, linked)
+    return (n, f / n if n else 0.0, told / n if n else 0.0, top, stuffed, repeated, linked / len(kept), tagged / len(kept), len(SEPARATOR.findall(body)) / max(n, 1) if f < 0.2 * n else 0.0, marked / n if n else 0.0, links)
 
 
 def features(documents: DataFrame) -> DataFrame:

@@ -301,6 +301,6 @@ def test_p9_bare_links_and_other_languages(spark):
     links = "\n".join(f"https://www.abc{i}.test/list{i}" for i in range(12))
     russian = "Совет сообщил, что выручка группы выросла за год. " * 2 + "Этому помог новый завод, а маржа не изменилась. Расходы упали, так как старый цех закрыли.\nhttps://a.test/x\nhttps://b.test/y"
     spam_ru = "купить кредит дешево онлайн\nкупить кредит срочно онлайн\nhttps://a.test/x\n" * 9
-    rows = [(0, links, "en", "s"), (1, links[:30], "en", "s")] + [(10 + i, russian, "ru", "s") for i in range(9)] + [(30, spam_ru, "ru", "s")]
+    rows = [(0, links, "en", "s"), (1, links[:30], "en", "s")] + [(10 + i, russian, "ru", "s") for i in range(9)] + [(30, spam_ru, "ru", "s"), (31, links.replace("\n", " "), "en", "s")]
     x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert sorted(r.doc_id for r in spam.spam_pages(x).collect()) == [0, 30]
+    assert sorted(r.doc_id for r in spam.spam_pages(x).collect()) == [0, 30, 31]
