@@ -9,23 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import rank_key
-
-
-def first_per_key(df: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of each key in the given order: a map-side reducible minimum of the row, no sort of a key's rows."""
-    x = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("_row"))
-    return x.select("_row.*")
-
 
 def top_per_group(df: DataFrame, group: list[str], k: int, *order: Column) -> DataFrame:
     """The first k rows of each group; Spark limits groups before the shuffle (window group limit)."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= k)
 
 
-def stratified_sample(df: DataFrame, stratum: str, quota: int, seed: int, salt: str, identity: str) -> DataFrame:
-    """Quota rows per stratum by a seeded hash of their identity."""
-    return top_per_group(df.withColumn("draw", rank_key(seed, salt, F.col(identity))), [stratum], quota, F.col("draw"), F.col(identity))
+def proportional_sample(df: DataFrame, stratum: str, count: int, seed: int, salt: str, identity: list[str]) -> DataFrame:
+    """``count`` rows shared over the strata by largest remainders; within one by a hash of seed, salt, stratum and identity."""
+    quota = largest_remainder(df.groupBy(stratum).agg(F.count("*").alias("_n")), stratum, "_n", count)
+    draw = F.sha2(F.concat_ws("\x00", F.lit(str(seed)), F.concat(F.lit(f"{salt}:"), F.col(stratum)), *[F.col(c).cast("string") for c in identity]), 256)
+    x = df.join(quota.select(stratum, "seats"), stratum).withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(draw)))
+    return x.where(F.col("_place") <= F.col("seats")).drop("seats", "_place")
+
+
+def hash_share(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) from the first 64 bits of a hash of seed and parts; rows below p are nested in those below a larger p."""
+    h = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256), 1, 16)
+    return F.conv(h, 16, 10).cast("decimal(20,0)").cast("double") / 18446744073709551616.0
 
 
 def largest_remainder(counts: DataFrame, key: str, n: str, seats: int) -> DataFrame:
@@ -42,14 +43,6 @@ def round_robin(df: DataFrame, lane: str, *order: Column) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(lane).orderBy(*order)))
 
 
-def growth_change(df: DataFrame, series: list[str], period: str, value: str) -> DataFrame:
-    """Three consecutive periods of a series: growth of the later step less growth of the earlier one."""
-    w = Window.partitionBy(*series).orderBy(period)
-    x = df.withColumns({"_a": F.lag(value, 2).over(w), "_b": F.lag(value, 1).over(w), "_p": F.lag(period, 2).over(w)})
-    x = x.where((F.col("_p") == F.col(period) - 2) & (F.col("_a") != 0) & (F.col("_b") != 0))
-    return x.select(*series, period, ((F.col(value) / F.col("_b") - 1) - (F.col("_b") / F.col("_a") - 1)).alias("change"))
-
-
 def cost_balanced_batches(df: DataFrame, cost: str, identity: str, workers: int, size: int = 7) -> DataFrame:
     """Adds batch and worker: rows by falling cost, ``size`` to a batch, each batch to the worker with the least load so far.
 

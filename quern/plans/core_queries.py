@@ -82,23 +82,12 @@ def agg16_advantage(t):
     return A.advantage(t("events").select("event_id", "user_id", "value"), "user_id", "value")
 
 
-@query("with g as (select user_id, count(*) as n, count(*) filter (where value >= 50) as k, max(value) as top from events group by 1) select event_id, user_id, value, round(case when k = 0 then 0 when k = n then 1 else (n * (value >= 50)::int + case when top > 0 then value / top else 0 end) / (n + 1) end, 6) as policy from events join g using (user_id)")
-def agg18_group_policy(t):
-    return A.group_policy(t("events").select("event_id", "user_id", "value"), "user_id", "value", 50.0)
-
-
 @query(f"select task, coalesce(p, 0) as planned, coalesce(a, 0) as actual, coalesce(a, 0) - coalesce(p, 0) as difference from (select {TASK} as task, count(*) as p from train_multi_sft_minhash_dedup group by 1) x full outer join (select {TASK} as task, count(*) as a from sft_records group by 1) y using (task) where task is not null")
 def agg9_planned_and_actual(t):
     count = lambda name: t(name).select(task_name().alias("task")).where("task is not null").groupBy("task").agg(F.count("*").alias("n"))
     return A.planned_and_actual(count(TRAIN), count(SFT), "task")
 
 
-@query("select entity, count(distinct document_id) as documents, count(distinct page) as pages, count(distinct period) as periods, count(distinct metric) as metrics, count(distinct document_id) + 0.5 * count(distinct period) + 0.25 * count(distinct metric) as difficulty from evidence_facts group by entity")
-def agg21_entity_difficulty(t):
-    x = t(FACTS).groupBy("entity").agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("page").alias("pages"), F.count_distinct("period").alias("periods"), F.count_distinct("metric").alias("metrics"))
-    return x.withColumn("difficulty", F.col("documents") + 0.5 * F.col("periods") + 0.25 * F.col("metrics"))
-
-
 @query("select user_id, max_by(event_type, struct_pack(a := n, b := event_type)) as best from (select user_id, event_type, count(*) as n from events group by all) group by user_id")
 def agg7_best_by_key(t):
     g = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
@@ -124,17 +113,12 @@ def jon4_bundle_lookup(t):
     return t(SFT).select("record_id", "bundle_id").join(t(BUNDLES).select("bundle_id", "document_id", "package_type"), "bundle_id").select("record_id", "bundle_id", "document_id", "package_type")
 
 
-@query("select fact_id as a, b, distance::int as distance from (select fact_id, unnest([{'b': lead(fact_id, 1) over w, 'distance': 1}, {'b': lead(fact_id, 2) over w, 'distance': 2}, {'b': lead(fact_id, 3) over w, 'distance': 3}], recursive := true) from evidence_facts window w as (partition by document_id, page order by fact_id)) where b is not null")
-def jon7_neighbour_edges(t):
-    return J.neighbours(t(FACTS).select("document_id", "page", "fact_id"), ["document_id", "page"], "fact_id", 3)
-
-
 _LANES = {"same_document": ("document_id", "''"), "same_entity_period": ("entity", "period"), "same_metric_cross_period": ("entity", "metric"), "same_topic": ("topic", "''"), "cross_modal_same_unit": ("unit_id", "''")}
 _FACT = ", ".join(f"coalesce({c}, '') as {c}" for c in ("document_id", "page", "entity", "period", "metric", "topic", "unit_id", "source_mode"))
 _LANE_ROWS = " union all ".join(f"select '{k}' as edge_type, {g} as g, {h} as h, f.* from f" + ("" if g == "unit_id" else f" where {g} <> ''" + ("" if h == "''" else f" and {h} <> ''")) for k, (g, h) in _LANES.items())
 
 
-@query(
+EDGES_SQL = (
     f"with f as (select fact_id, {_FACT} from evidence_facts), l as ({_LANE_ROWS}), "
     "r as (select *, row_number() over (partition by edge_type, g, h order by fact_id) as rn from l), "
     "p as (select x.fact_id as a, y.fact_id as b, edge_type, case edge_type when 'same_document' then case when x.page = y.page and x.page <> '' then 3.0 else 2.2 end when 'same_entity_period' then 3.4 "
@@ -142,6 +126,9 @@ _LANE_ROWS = " union all ".join(f"select '{k}' as edge_type, {g} as g, {h} as h,
     "else case when x.source_mode <> y.source_mode then 4.2 end end::double as weight from r x join r y using (edge_type, g, h) where y.rn between x.rn + 1 and x.rn + 6) "
     "select a, b, edge_type, weight from p where weight is not null and a <> b union all select b, a, edge_type, weight from p where weight is not null and a <> b"
 )
+
+
+@query(EDGES_SQL)
 def jon7_evidence_edges(t):
     return J.evidence_edges(t(FACTS))
 
@@ -187,9 +174,12 @@ def ddp12_renamed_duplicates(t):
 
 
 # -- windows, ranking, samples -----------------------------------------------
-@query(f"select record_id, task, place from (select record_id, {TASK} as task, row_number() over (partition by {TASK} order by coalesce(len(images), 0) desc, record_id) as place from sft_records) where place <= 20")
+@query(f"select record_id, task, place from (select record_id, task, row_number() over (partition by task order by n desc, record_id) as place from (select min(record_id) as record_id, min_by(task, record_id) as task, min_by(n, record_id) as n from (select record_id, {TASK} as task, coalesce(len(images), 0) as n, regexp_replace(list_filter(messages, lambda x: x.role = 'user')[-1].content, '\\s+', '', 'g') as k from sft_records) where k is not null and k not in (select regexp_replace(question, '\\s+', '', 'g') from bench_candidates where question is not null) group by k)) where place <= 20")
 def win1_top_per_task(t):
-    x = t(SFT).select("record_id", task_name().alias("task"), F.when(F.col("images").isNull(), 0).otherwise(F.size("images")).alias("n"))
+    """The first 20 rows of a task by pictures and id, one per question and none whose question is a benchmark's."""
+    x = t(SFT).select("record_id", task_name().alias("task"), F.when(F.col("images").isNull(), 0).otherwise(F.size("images")).alias("n"), unspaced(last_of(F.col("messages"), "user")).alias("k")).where("k is not null")
+    x = J.decontaminated(x, F.col("k"), t(BENCH), unspaced(F.col("question")))
+    x = x.groupBy("k").agg(F.min(F.struct("record_id", "task", "n")).alias("x")).select("x.*")
     return K.top_per_group(x, ["task"], 20, F.desc("n"), F.col("record_id")).select("record_id", "task", "place")
 
 
@@ -198,9 +188,15 @@ def win3_largest_remainder(t):
     return K.largest_remainder(t(DOCS).groupBy("source").agg(F.count("*").alias("n")), "source", "n", 500)
 
 
-@query("select doc_id, source from (select doc_id, source, row_number() over (partition by source order by sha256('7' || chr(0) || 'cohort' || chr(0) || doc_id), doc_id) as r from documents) where r <= 25")
+STRATA = f"select record_id, coalesce(source, '') || chr(31) || coalesce({TASK}, '') as stratum, sha256('7' || chr(0) || 'cohort:' || coalesce(source, '') || chr(31) || coalesce({TASK}, '') || chr(0) || coalesce(source, '') || chr(0) || record_id) as draw from sft_records"
+
+
+@query(f"with x as ({STRATA}), c as (select stratum, n, floor(n * 500 / t)::bigint + (row_number() over (order by n * 500 % t desc, stratum) <= 500 - sum(floor(n * 500 / t)) over ())::int as seats from (select stratum, count(*) as n, sum(count(*)) over () as t from x group by stratum)) select record_id, stratum from (select record_id, stratum, seats, row_number() over (partition by stratum order by draw) as place from x join c using (stratum)) where place <= seats")
 def win4_stratified_sample(t):
-    return K.stratified_sample(t(DOCS).select("doc_id", "source"), "source", 25, 7, "cohort", "doc_id").select("doc_id", "source")
+    """500 rows, shared over source and task in proportion, drawn within a stratum by a seeded hash."""
+    source, task = (F.coalesce(c, F.lit("")) for c in (F.col("source"), task_name()))
+    x = t(SFT).select("record_id", source.alias("source"), F.concat_ws("\x1f", source, task).alias("stratum"))
+    return K.proportional_sample(x, "stratum", 500, 7, "cohort", ["source", "record_id"]).select("record_id", "stratum")
 
 
 @query("select candidate_id, benchmark, row_number() over (partition by benchmark order by candidate_id) as turn from bench_candidates")
@@ -208,9 +204,11 @@ def win6_round_robin(t):
     return K.round_robin(t(BENCH).select("candidate_id", "benchmark"), "benchmark", F.col("candidate_id"))
 
 
-@query("select doc_id from documents where substr(sha256('11' || chr(0) || 'holdout' || chr(0) || doc_id), 1, 2) < '40'")
+@query(f"select record_id from (select record_id, ('0x' || substr(sha256('42:' || coalesce({TASK}, '') || ':' || case when coalesce(len(images), 0) > 0 then 'multi' else 'text' end || ':' || record_id), 1, 16))::ubigint / 18446744073709551616.0 as u from sft_records) where u < 0.25")
 def win17_hash_cohort(t):
-    return t(DOCS).where(F.substring(rank_key(11, "holdout", F.col("doc_id")), 1, 2) < "40").select("doc_id")
+    """A quarter of the rows by a hash of seed, task, modality and index; a larger share holds every smaller one's rows."""
+    modality = F.when(F.size("images") > 0, "multi").otherwise("text")
+    return t(SFT).where(K.hash_share(42, F.coalesce(task_name(), F.lit("")), modality, F.col("record_id")) < 0.25).select("record_id")
 
 
 @query("select event_id, step, value from (select event_id, floor(event_id / 1000)::bigint as step, value, row_number() over (partition by floor(event_id / 1000) order by value desc, event_id) as r from events) where r <= 3")
@@ -219,18 +217,6 @@ def win20_top_per_step(t):
     return K.top_per_group(x, ["step"], 3, F.desc("value"), F.col("event_id")).select("event_id", "step", "value")
 
 
-GROWTH = "select o_custkey, year(o_orderdate) as y, sum(o_totalprice) as v from orders group by all"
-
-
-@query(f"select o_custkey, y, round((v / b - 1) - (b / a - 1), 3) + 0.0e0 as change from (select o_custkey, y, v, lag(v, 2) over w as a, lag(v, 1) over w as b, lag(y, 2) over w as p from ({GROWTH}) window w as (partition by o_custkey order by y)) where p = y - 2 and a <> 0 and b <> 0")
-def win22_growth_change(t):
-    x = t("orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("y")).agg(F.sum("o_totalprice").alias("v"))
-    return K.growth_change(x, ["o_custkey"], "y", "v").withColumn("change", F.round("change", 3) + 0.0)
-
-
-@query("select record_id, least(9, floor(len(coalesce(list_filter(messages, lambda x: x.role = 'assistant')[-1].content, '')) / 4))::bigint as cost_class from sft_records")
-def win8_cost_class(t):
-    return t(SFT).select("record_id", F.least(F.lit(9), F.floor(F.length(F.coalesce(last_of(F.col("messages"), "assistant"), F.lit(""))) / 4)).alias("cost_class"))
 
 
 COST = "greatest(1, len(coalesce(list_filter(messages, lambda x: x.role = 'user')[-1].content, '')) // 4) + 256 * coalesce(len(images), 0) + 512"
@@ -271,13 +257,14 @@ def flt2_image_routes(t):
     return t(SFT).select(F.explode("images").alias("img")).groupBy(route.alias("route")).agg(F.count("*").alias("refs"))
 
 
-@query("select fact_id, score, case when score >= 0.9 then 'trusted' when score >= 0.75 then 'recheck' else 'quarantine' end as route from (select fact_id, round(0.4e0 + case when source_mode = 'text' then 0.2e0 else 0.1e0 end + case when coalesce(numeric_value, '') <> '' then 0.1e0 else 0e0 end + case when coalesce(period, '') <> '' then 0.1e0 else 0e0 end + case when metric is not null then 0.1e0 else 0e0 end + case when coalesce(scope, '') <> '' then 0.05e0 else 0e0 end, 3) as score from evidence_facts)")
+CANDIDATE = "source_mode = 'text' and coalesce(value_text, '') <> ''"
+
+
+@query(f"select fact_id, score, case when score >= 0.9 then 'trusted' when score >= 0.75 then 'recheck' else 'quarantine' end as route from (select fact_id, round(least(1e0, case when {CANDIDATE} then 0.35e0 else 0.1e0 end + case when coalesce(numeric_value, '') <> '' then 0.25e0 else 0.1e0 end + case when coalesce(period, '') <> '' then 0.15e0 else 0e0 end + case when coalesce(metric, '') <> '' then 0.1e0 else 0e0 end + case when source_mode = 'image' and coalesce(len(images), 0) > 0 then 0.1e0 else 0e0 end + case when coalesce(scope, '') <> '' then 0.05e0 else 0e0 end), 3) as score from evidence_facts)")
 def flt15_confidence_route(t):
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    part = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = F.round(0.4 + F.when(F.col("source_mode") == "text", 0.2).otherwise(0.1) + part(has("numeric_value"), 0.1) + part(has("period"), 0.1) + part(F.col("metric").isNotNull(), 0.1) + part(has("scope"), 0.05), 3)
-    x = t(FACTS).select("fact_id", score.alias("score"))
-    return x.withColumn("route", F.when(F.col("score") >= 0.9, "trusted").when(F.col("score") >= 0.75, "recheck").otherwise("quarantine"))
+    """A text fact whose value stands in the text counts as found by rule."""
+    x = t(FACTS).withColumn("candidate", F.coalesce(F.expr(CANDIDATE), F.lit(False)))
+    return x.select("fact_id", *A.confidence_route(F.col("candidate")))
 
 
 @query(f"select record_id, case when not list_contains(list_transform(messages, lambda x: x.role), 'assistant') then 'missing_assistant' when trim(coalesce(list_filter(messages, lambda x: x.role = 'assistant')[-1].content, ''), ' ') = '' then 'empty_supervision' when {TASK} is null then 'empty_task' end as reason, {TASK} as task from sft_records")
@@ -303,11 +290,6 @@ def prj23_bundle_row(t):
 LAST = "coalesce(list_filter(messages, lambda x: x.role = 'assistant')[-1].content, '')"
 
 
-@query(rf"select record_id, coalesce(regexp_extract_all({LAST}, '(?im)^(?:answer|antwort|答案)\s*[:：]\s*(.+)$', 1)[-1], string_split({LAST}, chr(10))[-1]) as tail from sft_records")
-def str2_answer_tail(t):
-    return t(SFT).select("record_id", answer_tail(F.coalesce(last_of(F.col("messages"), "assistant"), F.lit(""))).alias("tail"))
-
-
 @query(rf"select record_id, len(list_distinct(list_transform(regexp_extract_all({LAST}, '\d[\d,]*(?:\.\d+)?'), lambda x: replace(x, ',', '')))) as atoms, list_transform(regexp_extract_all({LAST}, '\d[\d,]*(?:\.\d+)?'), lambda x: replace(x, ',', ''))[-1] as gold from sft_records")
 def str5_number_atoms(t):
     a = F.coalesce(last_of(F.col("messages"), "assistant"), F.lit(""))
