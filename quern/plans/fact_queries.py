@@ -241,13 +241,14 @@ def series(t) -> DataFrame:
     return t("lineitem").groupBy(F.col("l_suppkey").alias("s"), F.year("l_shipdate").cast("long").alias("y")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"), F.sum("l_quantity").alias("n"))
 
 
-BY = Window.partitionBy("s").orderBy("y")
+def by_year():
+    return Window.partitionBy("s").orderBy("y")
 
 
 @query(f"select s, y, round(((v - b) / b - (b - a) / a) * 100, 4) as change from (select s, y, v, lag(v, 2) over w as a, lag(v) over w as b from {SERIES} window w as (partition by s order by y)) where a <> 0 and b <> 0")
 def win22_growth_acceleration(t):
     """Three successive periods: the later growth in percent less the earlier one."""
-    x = series(t).select("s", "y", "v", F.lag("v", 2).over(BY).alias("a"), F.lag("v").over(BY).alias("b")).where("a <> 0 and b <> 0")
+    x = series(t).select("s", "y", "v", F.lag("v", 2).over(by_year()).alias("a"), F.lag("v").over(by_year()).alias("b")).where("a <> 0 and b <> 0")
     v, a, b = (F.col(c) for c in "vab")
     return x.select("s", "y", F.round(((v - b) / b - (b - a) / a) * 100, 4).alias("change"))
 
@@ -256,20 +257,20 @@ def win22_growth_acceleration(t):
 def win23_ratio_change(t):
     """Two metrics over two periods: the later ratio less the earlier one."""
     ratio = F.col("v") / F.col("n")
-    return series(t).where("n <> 0").select("s", "y", F.round(ratio - F.lag(ratio).over(BY), 4).alias("change")).where("change is not null")
+    return series(t).where("n <> 0").select("s", "y", F.round(ratio - F.lag(ratio).over(by_year()), 4).alias("change")).where("change is not null")
 
 
 @query(f"with g as (select s, y, (v / b - 1) * 100 as g from (select s, y, v, lag(v) over (partition by s order by y) as b from {SERIES}) where b <> 0) select x.s as a, z.s as b, x.y, round(x.g - z.g, 4) as gap from g x join g z on z.s = x.s + 1 and z.y = x.y")
 def win24_peer_growth_gap(t):
     """Growth in percent of an entity less that of its neighbour over the same two periods."""
-    g = series(t).select("s", "y", "v", F.lag("v").over(BY).alias("p")).where("p <> 0").select("s", "y", ((F.col("v") / F.col("p") - 1) * 100).alias("g"))
+    g = series(t).select("s", "y", "v", F.lag("v").over(by_year()).alias("p")).where("p <> 0").select("s", "y", ((F.col("v") / F.col("p") - 1) * 100).alias("g"))
     z = g.select((F.col("s") - 1).alias("s"), "y", F.col("s").alias("b"), F.col("g").alias("h"))
     return g.join(z, ["s", "y"]).select(F.col("s").alias("a"), "b", "y", F.round(F.col("g") - F.col("h"), 4).alias("gap"))
 
 
 @query(f"select s, y, round(v - b, 2) as difference, round((v - b) / b * 100, 4) as percent from (select s, y, v, lag(v) over (partition by s order by y) as b from {SERIES}) where b <> 0")
 def win25_period_change(t):
-    x = series(t).select("s", "y", "v", F.lag("v").over(BY).alias("b")).where("b <> 0")
+    x = series(t).select("s", "y", "v", F.lag("v").over(by_year()).alias("b")).where("b <> 0")
     return x.select("s", "y", F.round(F.col("v") - F.col("b"), 2).alias("difference"), F.round((F.col("v") - F.col("b")) / F.col("b") * 100, 4).alias("percent"))
 
 
@@ -285,7 +286,7 @@ def win26_ranking_letter(t):
 def str11_programs(t):
     """Step programs of the growth of each series, run by the interpreter."""
     d = lambda c: F.col(c).cast("decimal(20,2)").cast("string")
-    x = series(t).select("s", "y", "v", F.lag("v").over(BY).alias("b")).where("b <> 0")
+    x = series(t).select("s", "y", "v", F.lag("v").over(by_year()).alias("b")).where("b <> 0")
     x = x.withColumn("program", F.concat(F.lit("subtract("), d("v"), F.lit(","), d("b"), F.lit("),divide(#0,"), d("b"), F.lit("),multiply(#1,100)")))
     x = x.withColumn("key", F.concat_ws(":", "s", "y"))
     done = verify.program_results(x, "key", "program")

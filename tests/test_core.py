@@ -1,6 +1,9 @@
 import pytest
 from compare import rows_of_spark, rows_of_sql, view
 
+from pyspark.sql import functions as F
+
+from quern.operators import reports, units
 from quern.operators.graph import connected_components
 from quern.operators.ranking import cost_balanced_batches, largest_remainder
 from quern.operators.relational import evidence_edges
@@ -83,3 +86,25 @@ def test_hidden_unit_is_inferred_from_the_level(spark):
     rows = [(f"f{i}", "mass", f"{100 + i} t", None, None, None) for i in range(6)] + [("x", "mass", "0.104", None, None, None), ("k", "mass", "0.103 kt", None, None, None)]
     got = {r.fact_id: (r.basis, r.common_value) for r in values(spark, rows).collect()}
     assert got["x"][0] == "inferred" and got["x"][1] == pytest.approx(104, rel=1e-3)
+
+
+def test_confidence_and_group_policy(spark):
+    facts = spark.createDataFrame([(1, "text", "5", "2020", "m", "group"), (2, "text", "5", "2020", "m", None), (3, "image", None, None, None, None)], "id long, source_mode string, numeric_value string, period string, metric string, scope string").withColumn("images", F.array(F.lit("p.png")))
+    got = {r.id: (r.score, r.route) for r in facts.select("id", *reports.confidence_route(F.col("source_mode") == "text")).collect()}
+    assert got == {1: (0.9, "trusted"), 2: (0.85, "recheck"), 3: (0.3, "quarantine")}
+    rows = [(g, i, i < k, 0.5) for g, k, n in (("none", 0, 8), ("all", 8, 8), ("some", 3, 8), ("part", 2, 5)) for i in range(n)]
+    x = reports.group_policy(spark.createDataFrame(rows, "g string, i long, ok boolean, q double"), "g", F.col("ok"), F.col("q"), 8).collect()
+    by = {(r.g, r.i): r.reward for r in x}
+    assert by["none", 0] == 0 and by["all", 7] == 1 and by["some", 0] == (8 + 0.5) / 9 and by["some", 7] == 0.5 / 9 and by["part", 0] == (8 + 0.5) / 9
+
+
+def test_units_come_from_the_decoded_path(spark, monkeypatch):
+    rows = [(f"f{i}", "e", "revenue", f"FY{2010 + i}", "s", f"{100 + i} million yuan", None, None, None) for i in range(8)] + [("odd", "e", "revenue", "FY2018", "s", "108 thousand yuan", None, None, None)]
+    facts = spark.createDataFrame([r[:9] for r in rows], FACT.replace(", rate string", ""))
+    mu = spark.createDataFrame([("revenue", "money", "CNY")], "metric string, dimension string, common_unit string")
+    fx = spark.createDataFrame([("CNY", y, 1.0) for y in range(2010, 2020)], "currency string, fiscal_year int, cny_per_unit double")
+    read = {r.fact_id: r for r in common_values(facts, mu, fx).collect()}
+    assert read["odd"].basis == "text" and read["odd"].common_value == 108e3 and read["f0"].common_value == 100e6
+    monkeypatch.setattr(units, "READ", 1.0)  # a weak emission lets the level of the series decide
+    weak = {r.fact_id: r for r in common_values(facts, mu, fx).collect()}
+    assert weak["odd"].basis == "corrected" and abs(weak["odd"].common_value / 108e6 - 1) < 0.01 and weak["f0"].basis == "text"
