@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.records import class_texts, common_share, of_classes, picture_set, record_text, with_texts
+from quern.llm.records import common_share, of_classes, picture_set, record_text, with_texts
 from quern.llm.signatures import MER, SIMILAR, signature_pairs
 from quern.operators.graph import connected_components
 from quern.plans.durable import materialize
@@ -61,8 +61,7 @@ def edit_links(sft: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     where parts were moved or inserted beyond the band.
     """
     rows = classes(sft)
-    cand = signature_pairs(rows.select("cid", F.lit(3).cast("byte").alias("side"), F.col("pictures").alias("salt"), "text"), both=True)
-    texts = class_texts(rows, cand)
+    cand, texts = signature_pairs(rows.select("id", "cid", F.lit(3).cast("byte").alias("side"), F.col("pictures").alias("salt"), "text"), both=True)
     links = materialize(verified(with_texts(cand, texts)))
     comp = materialize(connected_components(links).select(F.col("node").alias("cid"), "component"))
     c = comp.select(F.col("cid").alias("a"), "component")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.records import class_texts, label, of_classes, record_text, shared_share, training_side, with_texts
+from quern.llm.records import label, of_classes, record_text, shared_share, training_side, with_texts
 from quern.llm.signatures import SIMILAR, signature_pairs
 from quern.plans.durable import materialize
 
@@ -34,8 +34,8 @@ def classes(sft: DataFrame) -> DataFrame:
 def similar_classes(rows: DataFrame) -> DataFrame:
     """(a, b, jaccard): pairs of different texts, one standing on each side, that are similar; materialized."""
     side = F.when(F.col("train"), 2).otherwise(1).cast("byte").alias("side")
-    cand = signature_pairs(rows.select("cid", side, F.lit(0).cast("long").alias("salt"), "text"))
-    return materialize(shared_share(with_texts(cand, class_texts(rows, cand)), SIMILAR))
+    pairs, texts = signature_pairs(rows.select("id", "cid", side, F.lit(0).cast("long").alias("salt"), "text"))
+    return materialize(shared_share(with_texts(pairs, texts), SIMILAR))
 
 
 def cross_split_overlaps(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,14 +47,14 @@ def cross_split_overlaps(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty ones. Other columns of the input are not read.
     """
     rows = classes(sft)
-    members = rows.where(F.length("text") >= 5).select("id", "train", "cid")
+    members = materialize(rows.where(F.length("text") >= 5).select("id", "train", "cid"))
     same = members.groupBy("cid").agg(F.bool_or("train").alias("t"), F.bool_and("train").alias("all")).where("t and not all").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(1.0).alias("jaccard"))
     return similar_classes(rows).unionByName(same), members
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of record ids, smaller first, one on each side."""
-    m = materialize(members)
+    m = members
     both = materialize(pairs.select(F.col("a").alias("ce"), F.col("b").alias("ct")).union(pairs.where("a <> b").select("b", "a")))
     x = of_classes(of_classes(both, "ce", m.where("not train").select("id", "cid"), "e"), "ct", m.where("train").select("id", "cid"), "t")
     return x.select(F.least("e", "t").alias("record_id_a"), F.greatest("e", "t").alias("record_id_b")).distinct()
@@ -74,7 +74,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Per split and source of the evaluation side: its records, those that stand in training too, and pairs."""
     sft = _sft(spark, d)
     pairs, members = cross_split_overlaps(sft)
-    m = materialize(members)
+    m = members
     train = m.where("train").groupBy("cid").agg(F.count("*").alias("k"))
     both = pairs.select(F.col("a").alias("ce"), F.col("b").alias("cid")).union(pairs.where("a <> b").select("b", "a"))
     links = both.join(train, "cid").groupBy("ce").agg(F.sum("k").alias("links"))

@@ -73,14 +73,6 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
 
 
-def class_texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cid, text), once per class that stands in ``pairs``, materialized."""
-    from quern.plans.durable import keep_keys, materialize
-
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    return materialize(keep_keys(rows.select("cid", "text"), "cid", ids).groupBy("cid").agg(F.min("text").alias("text")))
-
-
 def of_classes(pairs: DataFrame, key: str, members: DataFrame, name: str) -> DataFrame:
     """Adds column ``name``: every member of the class ``key``; members: (id, cid).
 

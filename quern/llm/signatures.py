@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.grams import U64, chunks, mix, mix_scalar, runs
-from quern.plans.durable import materialize
+from quern.plans.durable import keep_keys, materialize
 
 SIMILAR = 0.7
 MER, KEEP, LEVELS, LEAST_RUNS = 5, 4, 6, 4
@@ -127,7 +127,7 @@ def order_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """(cid, side, n, sigs), once per class, side and task; rows: (cid, side, salt, text).
+    """(cid, id, side, n, sigs), once per class, side and task; rows: (id, cid, side, salt, text), id any row's key.
 
     side is a bit, salt a number that is mixed into all signatures, so that
     only classes of one salt meet; n is the number of distinct runs.
@@ -147,9 +147,9 @@ def signed(rows: DataFrame) -> DataFrame:
             sig = mix(sig + x.salt.to_numpy().view(U64)[own])
             cut = np.searchsorted(own, np.arange(len(x) + 1))
             raw = sig.tobytes()
-            yield pd.DataFrame({"cid": x.cid, "side": x.side, "n": size.astype(np.int32), "sigs": [raw[8 * a : 8 * b] for a, b in zip(cut[:-1], cut[1:])]})
+            yield pd.DataFrame({"cid": x.cid, "id": x.id, "side": x.side, "n": size.astype(np.int32), "sigs": [raw[8 * a : 8 * b] for a, b in zip(cut[:-1], cut[1:])]})
 
-    return rows.select("cid", "side", "salt", "text").mapInPandas(sign, "cid long, side byte, n int, sigs binary")
+    return rows.select("id", "cid", "side", "salt", "text").mapInPandas(sign, "cid long, id long, side byte, n int, sigs binary")
 
 
 def frequencies(sigs: DataFrame) -> np.ndarray:
@@ -259,7 +259,7 @@ def postings(sigs: DataFrame, counts: np.ndarray, buckets: int, both: bool) -> D
                     "posts": [praw[4 * pcut[b] : 4 * pcut[b + 1]] for b in held],
                 })
 
-    return sigs.mapInPandas(pack, "bucket int, docs binary, posts binary")
+    return sigs.select("cid", "side", "n", "sigs").mapInPandas(pack, "bucket int, docs binary, posts binary")
 
 
 def _expand(ee: np.ndarray, e_n: np.ndarray, tt: np.ndarray, t_n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -317,12 +317,14 @@ def probe(x: pd.DataFrame, both: bool) -> pd.DataFrame:
     return pd.DataFrame({"a": cid[lo], "b": cid[hi], "hits": f.hits.to_numpy().astype(np.int32), "runs": np.maximum(n[lo], n[hi]).astype(np.int32)})
 
 
-def signature_pairs(rows: DataFrame, both: bool = False) -> DataFrame:
-    """(a, b, runs), a < b: classes with NEED or more common signatures and the larger one's distinct runs, materialized; rows: (cid, side, salt, text).
+def signature_pairs(rows: DataFrame, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, runs), a < b, and the texts (cid, text) of their classes, materialized; rows: (id, cid, side, salt, text).
 
-    side is 1 for texts of the left side, 2 for those of the right side; pairs
-    have one text on each side, or any two with ``both``. Empty texts have no
-    signatures; sizes differ by at most 1 : SIMILAR.
+    A pair has NEED or more common signatures; runs are the larger text's
+    distinct runs. side is 1 for texts of the left side, 2 for those of the
+    right side; pairs have one text on each side, or any two with ``both``.
+    Empty texts have no signatures; sizes differ by at most 1 : SIMILAR. Texts
+    are read again from one row of each class, found by its id.
     """
     sigs = materialize(signed(rows))
     total = sigs.count()
@@ -330,4 +332,8 @@ def signature_pairs(rows: DataFrame, both: bool = False) -> DataFrame:
     packed = postings(sigs, frequencies(sigs), buckets, both).repartition(buckets, "bucket")
     hits = packed.groupBy("bucket").applyInPandas(lambda x: probe(x, both), "a long, b long, hits int, runs int")
     x = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hits", "runs").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("runs").alias("runs"))
-    return materialize(x.where(F.col("hits") >= NEED).select("a", "b", "runs"))
+    pairs = materialize(x.where(F.col("hits") >= NEED).select("a", "b", "runs"))
+    cids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    ids = materialize(keep_keys(sigs.select("cid", "id"), "cid", cids).groupBy("cid").agg(F.min("id").alias("id")).select("id").distinct())
+    texts = keep_keys(keep_keys(rows.select("id", "cid", "text"), "id", ids), "cid", cids)
+    return pairs, materialize(texts.groupBy("cid").agg(F.min("text").alias("text")))

@@ -113,7 +113,7 @@ def test_p1_p4_short_texts():
 
 def test_signature_frequencies_and_sizes(spark):
     texts = [words(1), words(1), words(2), "", "abcde", "ab"]
-    rows = spark.createDataFrame([(i, 3, 0, t) for i, t in enumerate(texts)], "cid long, side byte, salt long, text string")
+    rows = spark.createDataFrame([(i, i, 3, 0, t) for i, t in enumerate(texts)], "id long, cid long, side byte, salt long, text string")
     s = signatures.signed(rows)
     counts = signatures.frequencies(s)
     assert counts.sum() == sum(len(r.sigs) // 8 for r in s.collect())
