@@ -61,7 +61,7 @@ def edit_links(sft: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     where parts were moved or inserted beyond the band.
     """
     rows = classes(sft)
-    cand, texts = signature_pairs(rows.select("id", "cid", F.lit(3).cast("byte").alias("side"), F.col("pictures").alias("salt"), "text"), both=True)
+    cand, texts = signature_pairs(sft, "record_id", lambda x: classes(x).select("id", "cid", F.lit(3).cast("byte").alias("side"), F.col("pictures").alias("salt"), "text"), both=True)
     links = materialize(verified(with_texts(cand, texts)))
     comp = materialize(connected_components(links).select(F.col("node").alias("cid"), "component"))
     c = comp.select(F.col("cid").alias("a"), "component")

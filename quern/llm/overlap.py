@@ -31,10 +31,10 @@ def classes(sft: DataFrame) -> DataFrame:
     return x.where("id is not null").withColumn("cid", F.xxhash64("text"))
 
 
-def similar_classes(rows: DataFrame) -> DataFrame:
-    """(a, b, jaccard): pairs of different texts, one standing on each side, that are similar; materialized."""
+def similar_classes(sft: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of records: pairs of different texts, one standing on each side, that are similar; materialized."""
     side = F.when(F.col("train"), 2).otherwise(1).cast("byte").alias("side")
-    pairs, texts = signature_pairs(rows.select("id", "cid", side, F.lit(0).cast("long").alias("salt"), "text"))
+    pairs, texts = signature_pairs(sft, "record_id", lambda x: classes(x).select("id", "cid", side, F.lit(0).cast("long").alias("salt"), "text"))
     return materialize(shared_share(with_texts(pairs, texts), SIMILAR))
 
 
@@ -49,7 +49,7 @@ def cross_split_overlaps(sft: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = classes(sft)
     members = materialize(rows.where(F.length("text") >= 5).select("id", "train", "cid"))
     same = members.groupBy("cid").agg(F.bool_or("train").alias("t"), F.bool_and("train").alias("all")).where("t and not all").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(1.0).alias("jaccard"))
-    return similar_classes(rows).unionByName(same), members
+    return similar_classes(sft).unionByName(same), members
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

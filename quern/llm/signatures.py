@@ -28,7 +28,7 @@ a unit of work of its own, so that no task holds all of them.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -317,16 +317,18 @@ def probe(x: pd.DataFrame, both: bool) -> pd.DataFrame:
     return pd.DataFrame({"a": cid[lo], "b": cid[hi], "hits": f.hits.to_numpy().astype(np.int32), "runs": np.maximum(n[lo], n[hi]).astype(np.int32)})
 
 
-def signature_pairs(rows: DataFrame, both: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, runs), a < b, and the texts (cid, text) of their classes, materialized; rows: (id, cid, side, salt, text).
+def signature_pairs(source: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, runs), a < b, and the texts (cid, text) of their classes, materialized.
+
+    ``make`` gives (id, cid, side, salt, text) of the source's rows, id being their ``key``.
 
     A pair has NEED or more common signatures; runs are the larger text's
     distinct runs. side is 1 for texts of the left side, 2 for those of the
     right side; pairs have one text on each side, or any two with ``both``.
     Empty texts have no signatures; sizes differ by at most 1 : SIMILAR. Texts
-    are read again from one row of each class, found by its id.
+    are made again from one row of each class, which the source is cut to first.
     """
-    sigs = materialize(signed(rows))
+    sigs = materialize(signed(make(source)))
     total = sigs.count()
     buckets = max(LEAST_BUCKETS, -(-total * SIGNATURES // BUCKET_POSTINGS))
     packed = postings(sigs, frequencies(sigs), buckets, both).repartition(buckets, "bucket")
@@ -335,5 +337,5 @@ def signature_pairs(rows: DataFrame, both: bool = False) -> tuple[DataFrame, Dat
     pairs = materialize(x.where(F.col("hits") >= NEED).select("a", "b", "runs"))
     cids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     ids = materialize(keep_keys(sigs.select("cid", "id"), "cid", cids).groupBy("cid").agg(F.min("id").alias("id")).select("id").distinct())
-    texts = keep_keys(keep_keys(rows.select("id", "cid", "text"), "id", ids), "cid", cids)
+    texts = keep_keys(make(keep_keys(source, key, ids.withColumnRenamed("id", key))).select("cid", "text"), "cid", cids)
     return pairs, materialize(texts.groupBy("cid").agg(F.min("text").alias("text")))
