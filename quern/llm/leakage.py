@@ -154,32 +154,35 @@ class Items:
         return out
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, float]]:
-        """(message, item, share) of every leak."""
-        out, held = [], {}
+        """(text, item, share) of every leak; all candidates of a text are verified at once."""
+        out: list[tuple[int, int, float]] = []
+        by_text: dict[tuple[int, int], list[int]] = {}
         for m, i in sorted(self.candidates(texts)):
-            mine, places = self.runs_of(i)
-            k = self.least[i]
-            if not len(mine) or len(texts[m]) < k:
-                continue
-            if (m, k) not in held:
-                there = np.sort(runs([texts[m]], k)[2])
-                bits = np.zeros(FILTER, dtype=bool)
-                bits[(there % U64(FILTER)).astype(np.int32)] = True
-                held = {key: v for key, v in held.items() if key[0] == m} | {(m, k): (there, bits)}
-            there, bits = held[m, k]
-            found = np.flatnonzero(bits[places])
-            if not len(found):
-                continue
-            place = np.searchsorted(there, mine[found])
-            found = found[there[np.minimum(place, len(there) - 1)] == mine[found]]
-            if not len(found):
-                continue
-            mark = np.zeros(len(self.texts[i]) + 1, dtype=np.int64)
-            mark[found] += 1
-            np.add.at(mark, found + k, -1)
-            share = np.count_nonzero(np.cumsum(mark)[:-1]) / len(self.texts[i])
-            if share >= LEAK - 1e-12:
-                out.append((m, i, share))
+            if len(texts[m]) >= self.least[i] <= len(self.texts[i]):
+                by_text.setdefault((self.least[i], m), []).append(i)
+        bits = np.zeros(FILTER, dtype=bool)
+        for k in sorted({k for k, _ in by_text}):
+            own, _, h = runs(texts, k)
+            cut = np.searchsorted(own, np.arange(len(texts) + 1))
+            place = (h % U64(FILTER)).astype(np.int32)
+            for m, items in ((m, x) for (q, m), x in by_text.items() if q == k):
+                here = slice(cut[m], cut[m + 1])
+                bits[place[here]] = True
+                held = [self.runs_of(i) for i in items]
+                found = np.flatnonzero(bits[np.concatenate([p for _, p in held])])
+                bits[place[here]] = False
+                if not len(found):
+                    continue
+                there, asked = np.sort(h[here]), np.concatenate([r for r, _ in held])[found]
+                found = found[there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked]
+                start = np.concatenate([[0], np.cumsum([len(r) for r, _ in held])])
+                which = np.searchsorted(start, found, "right") - 1
+                for j in np.unique(which):
+                    at = found[which == j] - start[j]
+                    # each run covers k characters, less what the next one covers as well
+                    share = (k + np.minimum(np.diff(at), k).sum()) / len(self.texts[items[j]])
+                    if share >= LEAK - 1e-12:
+                        out.append((m, items[j], float(share)))
         return out
 
 
