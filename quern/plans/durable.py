@@ -13,9 +13,15 @@ BROADCAST_KEYS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset on a local master, as in tests, a new temporary one.
+
+    On a cluster it has to be set: a folder of one machine is none that executors share.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("quern.own.folder", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="quern-")

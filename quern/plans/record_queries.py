@@ -121,7 +121,7 @@ def flt5_shape(t):
 
 @query(rf"select record_id, trim(regexp_extract({QUESTION}, '([^\n]*)$', 1)) as focus from sft_records")
 def flt8_focus(t):
-    return t(SFT).select("record_id", F.trim(F.regexp_extract(question(), r"([^\n]*)$", 1)).alias("focus"))
+    return t(SFT).select("record_id", F.trim(F.substring_index(question(), "\n", -1)).alias("focus"))
 
 
 CALCULATION = r"how much|by what|percent|growth|change|ratio|增长|变动|比率|多少|wie hoch|anteil"
