@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.grams import U64, chunks, mix, mix_scalar, runs
@@ -198,9 +198,18 @@ def _split(own: np.ndarray, sig: np.ndarray, grid: np.ndarray, cid: np.ndarray,
     return o[new], s[new]
 
 
+def spread(spark: SparkSession, buckets: int) -> np.ndarray:
+    """Numbers for the buckets that hash partitioning sends to a partition each, so that no task gets two of them."""
+    tried = spark.range(buckets * (4 + buckets.bit_length())).select(F.col("id").cast("int").alias("id"))
+    x = tried.groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("p")).agg(F.min("id").alias("id")).select("id").toPandas().id.to_numpy(dtype=np.int32)
+    left = np.setdiff1d(np.arange(2 * buckets, dtype=np.int32), x)[: buckets - len(x)]  # for partitions that none was found for
+    return np.concatenate([x, left])
+
+
 def postings(sigs: DataFrame, counts: np.ndarray, buckets: int, both: bool) -> DataFrame:
     """(bucket, docs, posts): the prefixes of all classes, packed by bucket of signatures."""
     mean = int(counts.mean())
+    numbers = spread(sigs.sparkSession, buckets)
     at_once = min(60_000, max(8_000, 64 * buckets))
 
     def prefix(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +263,7 @@ def postings(sigs: DataFrame, counts: np.ndarray, buckets: int, both: bool) -> D
                 draw, praw, dsize = docs.tobytes(), token.astype("<u4").tobytes(), DOC.itemsize
                 held = np.flatnonzero(np.diff(pcut))
                 yield pd.DataFrame({
-                    "bucket": held.astype(np.int32),
+                    "bucket": numbers[held],
                     "docs": [draw[dsize * dcut[b] : dsize * dcut[b + 1]] for b in held],
                     "posts": [praw[4 * pcut[b] : 4 * pcut[b + 1]] for b in held],
                 })

@@ -121,6 +121,14 @@ def test_signature_frequencies_and_sizes(spark):
     assert [int(n) for n in size] == [len(x) if len(t) >= 5 else int(bool(t)) for x, t in zip(char_sets(texts), texts)] and (sig[own == 0] == sig[own == 1]).all()
 
 
+def test_buckets_have_a_partition_each(spark):
+    for n in (1, 2, 16, 37):
+        numbers = signatures.spread(spark, n)
+        assert len(set(numbers.tolist())) == n
+        x = spark.createDataFrame([(int(i),) for i in numbers], "bucket int").repartition(n, "bucket")
+        assert x.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= (1 if n > 2 else 2)
+
+
 def test_p4_alignment_and_moved_parts(spark):
     t = "".join(words(60, 200).split())
     far = t[400:] + t[:400]
