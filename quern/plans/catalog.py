@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.plans import core_queries, fact_queries, record_queries
+from quern.plans import core_queries, fact_queries, record_queries, source_queries
 
-MODULES = [core_queries, record_queries.R, fact_queries.R]
+MODULES = [core_queries, record_queries.R, fact_queries.R, source_queries.R]
 
 
 def queries() -> dict[str, Callable]:
