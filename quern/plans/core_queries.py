@@ -174,7 +174,7 @@ def ddp12_renamed_duplicates(t):
 
 
 # -- windows, ranking, samples -----------------------------------------------
-@query(f"select record_id, task, place from (select record_id, task, row_number() over (partition by task order by n desc, record_id) as place from (select min(record_id) as record_id, min_by(task, record_id) as task, min_by(n, record_id) as n from (select record_id, {TASK} as task, coalesce(len(images), 0) as n, regexp_replace(list_filter(messages, lambda x: x.role = 'user')[-1].content, '\\s+', '', 'g') as k from sft_records) where k is not null and k not in (select regexp_replace(question, '\\s+', '', 'g') from bench_candidates where question is not null) group by k)) where place <= 20")
+@query(f"select record_id, task, place from (select record_id, task, row_number() over (partition by task order by n desc, record_id) as place from (select m.r as record_id, m.t as task, m.n as n from (select min(struct_pack(r := record_id, t := task, n := n)) as m from (select record_id, {TASK} as task, coalesce(len(images), 0) as n, regexp_replace(list_filter(messages, lambda x: x.role = 'user')[-1].content, '\\s+', '', 'g') as k from sft_records) where k is not null and k not in (select regexp_replace(question, '\\s+', '', 'g') from bench_candidates where question is not null) group by k))) where place <= 20")
 def win1_top_per_task(t):
     """The first 20 rows of a task by pictures and id, one per question and none whose question is a benchmark's."""
     x = t(SFT).select("record_id", task_name().alias("task"), F.when(F.col("images").isNull(), 0).otherwise(F.size("images")).alias("n"), unspaced(last_of(F.col("messages"), "user")).alias("k")).where("k is not null")
