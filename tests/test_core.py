@@ -108,3 +108,28 @@ def test_units_come_from_the_decoded_path(spark, monkeypatch):
     monkeypatch.setattr(units, "READ", 1.0)  # a weak emission lets the level of the series decide
     weak = {r.fact_id: r for r in common_values(facts, mu, fx).collect()}
     assert weak["odd"].basis == "corrected" and abs(weak["odd"].common_value / 108e6 - 1) < 0.01 and weak["f0"].basis == "text"
+
+
+def test_open_notations_are_decided_by_the_path_and_pair(spark, monkeypatch):
+    rows = [(f"f{y}", "revenue", f"FY{y}", f"{y - 1914} million yuan", None, None, None) for y in range(2014, 2020)]
+    rows += [("yen", "revenue", "FY2016", "¥ 2,040 million", None, None, None), ("column", "revenue", "FY2018", "2,080 million", None, None, "¥"), ("dollar", "revenue", "FY2019", "$116.67 million", None, None, None)]
+    # the usual unit stays: nothing is restated by the other one, a column settles it, both restate, the sign is another
+    rows += [("cny", "revenue", "FY2017", "¥ 103 million", None, None, None), ("misread", "revenue", "FY2017", "¥ 1,030 million", None, None, None), ("settled", "revenue", "FY2014", "¥ 2,000 million", None, None, "RMB"), ("both", "revenue", "FY2014", "¥ 2,001 million", None, None, None), ("loss", "revenue", "FY2016", "-¥ 2,040 million", None, None, None)]
+    rows += [(f"m{y}", "mass", f"FY{y}", f"{y - 2009} kt", None, None, None) for y in range(2014, 2018)] + [("MT", "mass", "FY2015", "6,000 MT", None, None, None), ("Mt", "mass", "FY2016", "7,000 Mt", None, None, None)]
+    facts = spark.createDataFrame([(i, "e", metric, period, "s", *rest) for i, metric, period, *rest in rows], FACT.replace(", rate string", ""))
+    mu = spark.createDataFrame([("revenue", "money", "CNY"), ("mass", "mass", "tonnes")], "metric string, dimension string, common_unit string")
+    fx = spark.createDataFrame([(c, y, r) for y in range(2014, 2020) for c, r in (("CNY", 1.0), ("JPY", 0.05), ("USD", 7.0), ("HKD", 0.9))], "currency string, fiscal_year int, cny_per_unit double")
+    v = common_values(facts, mu, fx)
+    got = {r.fact_id: (r.basis, r.common_value) for r in v.collect()}
+    assert len(got) == v.count() == len(rows)
+    expected = {"yen": 102e6, "column": 104e6, "dollar": 105.003e6, "MT": 6000.0}
+    assert {k: x for k, (b, x) in got.items() if b == "corrected"} == {k: pytest.approx(x, rel=1e-9) for k, x in expected.items()}
+    assert [got[k][1] for k in ("cny", "misread", "settled", "both", "loss", "Mt")] == [103e6, 1030e6, 2000e6, 2001e6, -2040e6, 7e9]
+    assert {tuple(sorted(r)) for r in restated_pairs(v).collect()} == {("f2016", "yen"), ("column", "f2018"), ("dollar", "f2019"), ("MT", "m2015")}
+    # the path decides: without it the usual units stay and nothing pairs
+    monkeypatch.setattr(units, "viterbi", lambda at, value, factor, other: factor)
+    assert restated_pairs(common_values(facts, mu, fx)).count() == 0
+    # without a reading that is sure there is no candidate, and empty tables give an empty result
+    monkeypatch.undo()
+    assert "corrected" not in {r.basis for r in common_values(facts.where("fact_id in ('yen', 'loss', 'dollar')"), mu, fx).collect()}
+    assert common_values(facts.limit(0), mu, fx).count() == 0
